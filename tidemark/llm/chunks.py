@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from tidemark.llm.textkit import U64, hash_runs
+from tidemark.llm.textkit import U64, distinct, hash_runs
 
 
 class ChunkIds:
@@ -16,7 +16,7 @@ class ChunkIds:
     each.  The store is emptied when it holds over ``limit`` chunks.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -30,13 +30,13 @@ class ChunkIds:
         if not len(lengths):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         hashes = hash_runs(data[cuts[0] : cuts[-1]], lengths)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > self.limit:
+        wanted, first, back = distinct(hashes)
+        if len(self.hashes) + len(wanted) > self.limit:
             self.clear()
-        at = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
+        at = np.searchsorted(self.hashes, wanted)
+        known = np.zeros(len(wanted), bool)
         if len(self.hashes):
-            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == distinct
+            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == wanted
         new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
@@ -46,9 +46,9 @@ class ChunkIds:
             self.pool[self.used : self.used + len(ids)] = ids
             starts = self.used + np.cumsum(counts) - counts
             self.used += len(ids)
-            self.hashes = np.insert(self.hashes, at[new], distinct[new])
+            self.hashes = np.insert(self.hashes, at[new], wanted[new])
             self.starts, self.lengths = np.insert(self.starts, at[new], starts), np.insert(self.lengths, at[new], counts)
-            at = np.searchsorted(self.hashes, distinct)
+            at = np.searchsorted(self.hashes, wanted)
         starts, counts = self.starts[at][back], self.lengths[at][back]
         ends = np.cumsum(counts)
         return self.pool[np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]))], counts
@@ -59,7 +59,9 @@ def cut(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> tuple[np.nd
 
     ``data`` holds the rows one after another from place zero.
     """
-    row_starts = offsets[:-1][np.diff(offsets) > 0]
-    borders = np.union1d(marks, row_starts)
+    flags = np.zeros(len(data), bool)
+    flags[marks] = True
+    flags[offsets[:-1][np.diff(offsets) > 0]] = True
+    borders = np.flatnonzero(flags)
     cuts = np.append(borders, len(data))
     return cuts, np.diff(np.searchsorted(borders, offsets))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import map_blob, new_path, write_blob
-from tidemark.llm.textkit import U64, Words, mix, slices, utf8
+from tidemark.llm.textkit import U64, Words, distinct, mix, slices, utf8
 
 END = U64(0x5EED0E0D5EED0E0D)
 ROWS_PER_RANGE = 2048
@@ -222,8 +222,8 @@ def train(texts: DataFrame) -> Model:
             data, offs = utf8(batch.column(0))
             for i, j in slices(offs, SLICE):
                 hashes, counts = token_hashes(data, offs, i, j)
-                distinct, back = np.unique(hashes, return_inverse=True)
-                numbers = table.lookup(distinct, False)[0][back]
+                words, _, back = distinct(hashes)
+                numbers = table.lookup(words, False)[0][back]
                 held.add(empty.pair_key(*_with_before(numbers, counts, n_words)))
             if held.size > HOLD:
                 keys, counts = held.take()
@@ -334,8 +334,8 @@ class Scorer:
     def rows(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known tokens, base score, score) of each row."""
         m = self.model
-        distinct, back = np.unique(hashes, return_inverse=True)
-        number, count, stats = self.table.lookup(distinct, m.pairs > 0)
+        words, _, back = distinct(hashes)
+        number, count, stats = self.table.lookup(words, m.pairs > 0)
         starts = np.cumsum(counts) - counts
         known = np.add.reduceat((count > 0)[back].astype(np.int64), starts)
         base = np.add.reduceat(np.log10((count + 1) / (m.tokens + 1 * (m.words + 1)))[back], starts)
@@ -352,7 +352,7 @@ class Scorer:
         before = np.where(first, m.words, number[own])
         word = number[back]
         seen = np.flatnonzero((before >= 0) & (word >= 0))
-        keys, places = np.unique(m.pair_key(before[seen], word[seen]), return_inverse=True)
+        keys, _, places = distinct(m.pair_key(before[seen], word[seen]))
         pair = np.zeros(len(back), np.int64)
         pair[seen] = self.pair_counts(keys)[places]
         some = np.maximum(total, 1)

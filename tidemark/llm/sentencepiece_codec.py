@@ -253,6 +253,12 @@ class Encoder:
             yield i, j, ids, total[ends] - total[ends - per_row]
 
 
+@lru_cache(maxsize=2)
+def text_encoder(path: str) -> Encoder:
+    """One for a worker, which keeps its chunks from task to task."""
+    return Encoder(path)
+
+
 class Decoder:
     def __init__(self, path: str):
         v = load(path)
@@ -276,7 +282,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     schema = docs.select(kept).schema.add(ids, "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = text_encoder(path)
         for batch in batches:
             for i, j, out, counts in encoder.rows(batch.column(0)):
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(out, pa.int32()))
@@ -308,7 +314,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
     names = ["doc_id", "n_tokens", "n_fallback", "ids_crc32", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(path), Decoder(path)
+        encoder, decoder = text_encoder(path), Decoder(path)
         is_byte = np.zeros(len(encoder.vocabulary.scores), bool)
         is_byte[encoder.vocabulary.byte_ids] = True
         for batch in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -92,3 +93,14 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values, axis=0)])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, place of the first of each, number of the value at each place), by hashing."""
+    codes, found = pd.factorize(values)
+    first = np.empty(len(found), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    order = np.argsort(found)
+    number = np.empty(len(found), np.int64)
+    number[order] = np.arange(len(found))
+    return found[order], first[order], number[codes]

@@ -55,54 +55,71 @@ def _tokenizer(path: str):
 
 
 def _encode_chunks(path: str, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of chunks, encoded as one text: no token crosses the border of two chunks."""
-    tokenizer, lengths = _tokenizer(path)
-    ids, counts, k = [], [], 0
-    while k < len(chunks):
-        size, first = 0, k
-        while k < len(chunks) and (k == first or size + len(chunks[k]) <= 1 << 18):
-            if k > first and not _opens(chunks[k]) or k > first and not _closes(chunks[k - 1]):
-                break
-            size += len(chunks[k])
-            k += 1
-        part = np.array(tokenizer.encode(b"".join(chunks[first:k]).decode(), add_special_tokens=False).ids, np.int64)
-        ends = np.cumsum(lengths[part])
-        bounds = np.cumsum([len(c) for c in chunks[first:k]])
-        at = np.searchsorted(ends, bounds, "right")
-        if len(part) and not np.array_equal(ends[at - 1], bounds):
-            raise ValueError("a token crosses the border of two chunks")
-        ids.append(part)
-        counts.append(np.diff(np.append(0, at)))
-    return np.concatenate(ids).astype(np.int32), np.concatenate(counts)
-
-
-def _opens(chunk: bytes) -> bool:
-    return bool(SPACE[chunk[0]])
+    """Ids of chunks, joined, and how many each has.
 
-
-def _closes(chunk: bytes) -> bool:
-    return 0x21 <= chunk[-1] <= 0x7E or len(chunk) > 1 and chunk[-2] == 0xC3
+    Chunks of one word are encoded many at a time, a line each; a line end
+    between two words is a token by itself.  Other chunks are encoded alone.
+    """
+    tokenizer, lengths = _tokenizer(path)
+    encode = lambda raw: np.array(tokenizer.encode(raw.decode(), add_special_tokens=False).ids, np.int64)
+    plain = [k for k, c in enumerate(chunks) if not SPACE[c[-1]] and not SPACE[c[1 if c[0] == 32 and len(c) > 1 else 0]]]
+    sizes = np.array([len(chunks[k]) + 1 for k in plain], np.int64)
+    parts, counts = [], np.zeros(len(chunks), np.int64)
+    places = np.zeros(len(chunks), np.int64)
+    used, rest = 0, set(range(len(chunks)))
+    for a, b in slices(np.append(0, np.cumsum(sizes)), 1 << 17) if plain else ():
+        ids = encode(b"\n".join([chunks[k] for k in plain[a:b]]) + b"\n")
+        ends, bounds = np.cumsum(lengths[ids]), np.cumsum(sizes[a:b])
+        at = np.searchsorted(ends, bounds)  # the place of each line end
+        if not (np.array_equal(ends[at], bounds) and (lengths[ids[at]] == 1).all()):
+            continue  # a line end has joined a word: these are encoded alone
+        own = np.array(plain[a:b])
+        places[own], counts[own] = used + np.append(0, at[:-1] + 1), np.diff(np.append(-1, at)) - 1
+        parts.append(ids)
+        used += len(ids)
+        rest.difference_update(plain[a:b])
+    for k in sorted(rest):
+        parts.append(ids := encode(chunks[k]))
+        places[k], counts[k] = used, len(ids)
+        used += len(ids)
+    ids, ends = np.concatenate(parts), np.cumsum(counts)
+    return ids[np.repeat(places - (ends - counts), counts) + np.arange(int(ends[-1]))].astype(np.int32), counts
+
+
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+for _a, _b in ((65, 91), (97, 123)):
+    _LETTER[_a:_b] = True
+for _a, _b in ((33, 48), (58, 65), (91, 97), (123, 127)):
+    _MARK[_a:_b] = True
+
+
+def borders(text: np.ndarray) -> np.ndarray:
+    """Places where the tokenizer's own words certainly end.
+
+    White space after a printing character begins a word, and a line end
+    joins no word after it; letters and punctuation are never in one word, but
+    for what follows an apostrophe.
+    """
+    if len(text) < 2:
+        return np.zeros(0, np.int64)
+    latin = np.zeros(len(text), bool)  # second byte of a Latin letter
+    latin[1:] = (text[:-1] == 0xC3) & (text[1:] != 0x97) & (text[1:] != 0xB7)
+    letter = _LETTER[text] | latin
+    mark = _MARK[text]
+    lead = np.append((text[:-1] == 0xC3) & latin[1:], False)
+    before, after = slice(None, -1), slice(1, None)
+    found = SPACE[text[after]] & (letter | mark | (text >= 48) & (text <= 57))[before]
+    found |= letter[before] & mark[after]
+    found |= mark[before] & (text[before] != 39) & (_LETTER[text] | lead)[after]
+    found |= (SPACE[text] & (text != 32))[before] & (letter | mark | lead)[after]
+    return np.flatnonzero(found) + 1
 
 
 class TextEncoder:
-    """Encodes rows of Arrow strings.
-
-    A cut before white space that follows a printing character is a border of
-    the tokenizer's own words, so the chunks between such cuts are encoded apart.
-    """
+    """Encodes rows of Arrow strings; the distinct chunks between certain borders once each."""
 
     def __init__(self, path: str):
-        # chunks that may stand beside each other in one encoded text come first
-        def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            order = sorted(range(len(chunks)), key=lambda k: not (_opens(chunks[k]) and _closes(chunks[k])))
-            ids, counts = _encode_chunks(path, [chunks[k] for k in order])
-            starts = np.cumsum(counts) - counts
-            back = np.argsort(order)
-            starts, counts = starts[back], counts[back]
-            ends = np.cumsum(counts)
-            return ids[np.repeat(starts - (ends - counts), counts) + np.arange(len(ids))], counts
-
-        self.chunks = ChunkIds(encode)
+        self.chunks = ChunkIds(lambda chunks: _encode_chunks(path, chunks))
 
     def rows(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(i, j, ids, counts) of rows i..j, each closed by ``end_id``."""
@@ -110,10 +127,7 @@ class TextEncoder:
         for i, j in slices(offsets):
             at = offsets[i : j + 1] - offsets[i]
             text = data[offsets[i] : offsets[j]]
-            printing = (text >= 0x21) & (text <= 0x7E)
-            printing[1:] |= text[:-1] == 0xC3
-            marks = np.flatnonzero(SPACE[text[1:]] & printing[:-1]) + 1 if len(text) else np.zeros(0, np.int64)
-            cuts, per_row = cut(text, at, marks)
+            cuts, per_row = cut(text, at, borders(text))
             ids, counts = self.chunks.lookup(text, cuts)
             total = np.append(0, np.cumsum(counts))
             ends = np.cumsum(per_row)
@@ -122,6 +136,12 @@ class TextEncoder:
             yield i, j, out, counts + 1
 
 
+@lru_cache(maxsize=2)
+def text_encoder(path: str) -> TextEncoder:
+    """One for a worker, which keeps its chunks from task to task."""
+    return TextEncoder(path)
+
+
 # ------------------------------------------------------------ wavelet matrix
 
 
@@ -253,14 +273,14 @@ def shard_borders(docs: DataFrame, doc_id: str, shard_docs: int) -> np.ndarray:
 
 def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Write ``docs`` to shard files in ``folder``; (shard, uri, n_docs, n_tokens, doc_ids) for each."""
-    borders = shard_borders(docs, doc_id, shard_docs)
+    limits = shard_borders(docs, doc_id, shard_docs)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pack = TextEncoder(path), zstandard.ZstdCompressor(level=1).compress
+        encoder, pack = text_encoder(path), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             at = batch.column(0).cast(pa.float64()).to_numpy(zero_copy_only=False)
-            shard = np.where(np.isnan(at), 0, np.searchsorted(borders, at, "right"))
+            shard = np.where(np.isnan(at), 0, np.searchsorted(limits, at, "right"))
             for i, j, ids, counts in encoder.rows(batch.column(1), end_id):
                 blobs = [pack(r.astype("<u4" if ids.max() >> 16 else "<u2").tobytes()) for r in np.split(ids, np.cumsum(counts)[:-1])]
                 wide = pa.array([bool(ids.max() >> 16)] * (j - i))
@@ -293,7 +313,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     encoded = rows.mapInArrow(encode, f"doc_id {kind}, shard int, wide boolean, n long, ids binary")
-    dealt = encoded.repartitionById(len(borders) + 1, "shard").sortWithinPartitions("shard", "doc_id")
+    dealt = encoded.repartitionById(len(limits) + 1, "shard").sortWithinPartitions("shard", "doc_id")
     return materialize(dealt.mapInArrow(write, f"shard int, uri string, n_tokens long, doc_ids array<{kind}>"), "shards")
 
 
