@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import materialize
+
 
 BITS = 16
 #: Expected rows of a language that the weights are trained on.
@@ -156,7 +158,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
         yield pd.DataFrame({"languages": [languages], "weights": [(10 * w * idf[:, None]).astype(np.float32).tobytes()], "bias": [b.tobytes()], "temperature": [t]})
 
     rows = sample.select("lang", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)).alias("part"), "text").mapInPandas(count_rows, "lang string, part long, at array<int>, n array<long>")
-    model = rows.coalesce(1).mapInPandas(train, "languages array<string>, weights binary, bias binary, temperature double").first()
+    # the sample's counts are written by all tasks; only they, a bounded number, meet in one
+    model = materialize(rows, "sample").coalesce(1).mapInPandas(train, "languages array<string>, weights binary, bias binary, temperature double").first()
     k = len(model["languages"])
     n_rows = {r["lang"]: r["count"] for r in sizes.collect()}  # a row for each language
     prior = np.log([n_rows[lang] / sum(n_rows.values()) for lang in model["languages"]])  # the sample is balanced

@@ -40,16 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import map_blob, new_path, write_blob
-from tidemark.llm.textkit import U64, mix, slices, utf8
+from tidemark.llm.textkit import U64, distinct, mix, slices, utf8
 
 WIDTH = 50
 GRAM = 16
 PIECE = 1 << 19
-ROWS_PER_RANGE = 2048
+ROWS_PER_RANGE = 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = U64((1 << 20) - 1)
 #: Triggers, or bytes of phrases, that a task holds before it emits them.
-HOLD_TRIGGERS, HOLD_BYTES = 4_000_000, 64_000_000
+HOLD_TRIGGERS, HOLD_BYTES = 3_000_000, 32_000_000
+#: Bytes of competing phrases whose suffixes are sorted together.
+SORT_BYTES = 2_000_000
 
 _powers = np.concatenate([np.ones(1, U64), np.cumprod(np.full(PIECE + 2 * WIDTH, _BASE, U64))])
 _inverses = np.concatenate([np.ones(1, U64), np.cumprod(np.full(PIECE + 2 * WIDTH, pow(_BASE, -1, 1 << 64), U64))])
@@ -216,23 +218,37 @@ def first_documents(sizes: np.ndarray, left: np.ndarray, least: np.ndarray, text
     begin = np.cumsum(sizes) - sizes
     phrase = np.repeat(np.arange(len(sizes)), counts)
     out = least[phrase].copy()
-    grams = np.ndarray((len(sizes), GRAM), np.uint8) if not len(sizes) else text[(begin + left)[:, None] + np.arange(GRAM)]
-    _, trigger, often = np.unique(np.ascontiguousarray(grams).view(f"V{GRAM}")[:, 0], return_inverse=True, return_counts=True)
+    at = begin + left
+    grams = np.ndarray((max(0, len(text) - 7),), "<u8", np.ascontiguousarray(text), 0, (1,))
+    _, _, trigger = distinct(mix(grams[at] + mix(grams[at + GRAM - 8].astype(U64))))
+    often = np.bincount(trigger)
     rivals = np.flatnonzero(often[trigger] > 1)  # phrases that share a trigger
-    if len(rivals):
-        ends = np.cumsum(sizes[rivals])
-        own = text[np.repeat(begin[rivals] - (ends - sizes[rivals]), sizes[rivals]) + np.arange(int(ends[-1]))]
-        n = counts[rivals]
-        starts = np.repeat(ends - sizes[rivals] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        order, group = suffix_groups(own, starts)
-        docs = np.repeat(least[rivals], n)
-        best = np.minimum.reduceat(docs[order], np.flatnonzero(np.append(True, group[1:] != group[:-1])))
-        docs[order] = best[group]
-        string = np.repeat((np.cumsum(counts) - counts)[rivals] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        out[string] = docs
+    rivals = rivals[np.argsort(trigger[rivals], kind="stable")]
+    ends = np.cumsum(sizes[rivals])
+    last = np.append(trigger[rivals][1:] != trigger[rivals][:-1], True) if len(rivals) else np.zeros(0, bool)
+    done = 0
+    while done < len(rivals):  # as many triggers at a time as SORT_BYTES hold, whole
+        stop = int(np.searchsorted(ends, (ends[done - 1] if done else 0) + SORT_BYTES))
+        stop = min(stop, len(rivals) - 1)
+        stop += int(last[stop:].argmax()) + 1
+        _join_rivals(rivals[done:stop], sizes, begin, counts, least, text, out)
+        done = stop
     return counts, out, phrase
 
 
+def _join_rivals(rivals: np.ndarray, sizes: np.ndarray, begin: np.ndarray, counts: np.ndarray, least: np.ndarray, text: np.ndarray, out: np.ndarray) -> None:
+    """Set in ``out`` the smallest document of the strings of ``rivals``, among each other."""
+    ends = np.cumsum(sizes[rivals])
+    own = text[np.repeat(begin[rivals] - (ends - sizes[rivals]), sizes[rivals]) + np.arange(int(ends[-1]))]
+    n = counts[rivals]
+    place = np.arange(int(n.sum()))
+    order, group = suffix_groups(own, np.repeat(ends - sizes[rivals] - (np.cumsum(n) - n), n) + place)
+    docs = np.repeat(least[rivals], n)
+    best = np.minimum.reduceat(docs[order], np.flatnonzero(np.append(True, group[1:] != group[:-1])))
+    docs[order] = best[group]
+    out[np.repeat((np.cumsum(counts) - counts)[rivals] - (np.cumsum(n) - n), n) + place] = docs
+
+
 def _write_dictionary(docs: DataFrame, bits: int, folder: str) -> None:
     """Write, for each hash range, the phrases that a larger document has as well, with their first documents."""
     names = ["part", "blob"]
