@@ -86,11 +86,18 @@ def _encode_chunks(path: str, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarr
     return ids[np.repeat(places - (ends - counts), counts) + np.arange(int(ends[-1]))].astype(np.int32), counts
 
 
-_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
-for _a, _b in ((65, 91), (97, 123)):
-    _LETTER[_a:_b] = True
-for _a, _b in ((33, 48), (58, 65), (91, 97), (123, 127)):
-    _MARK[_a:_b] = True
+#: Classes of bytes: white space, letters, punctuation, and the lead byte of Latin letters; others are 0.
+_SPACE, _LINE, _LETTER, _MARK, _APOSTROPHE, _DIGIT, _LEAD = range(1, 8)
+_CLASS = np.zeros(256, np.uint8)
+for _a, _b, _k in ((33, 48, _MARK), (58, 65, _MARK), (91, 97, _MARK), (123, 127, _MARK), (48, 58, _DIGIT), (65, 91, _LETTER), (97, 123, _LETTER), (9, 14, _LINE)):
+    _CLASS[_a:_b] = _k
+_CLASS[[32, 39, 0xC3]] = _SPACE, _APOSTROPHE, _LEAD
+_BORDER = np.zeros((8, 8), bool)  # between two classes
+_BORDER[[_LETTER, _MARK, _APOSTROPHE, _DIGIT], _SPACE : _LINE + 1] = True
+_BORDER[_LETTER, [_MARK, _APOSTROPHE]] = True
+_BORDER[_MARK, [_LETTER, _LEAD]] = True
+_BORDER[_LINE, [_LETTER, _MARK, _APOSTROPHE, _LEAD]] = True
+_BORDER = _BORDER.ravel()
 
 
 def borders(text: np.ndarray) -> np.ndarray:
@@ -102,17 +109,10 @@ def borders(text: np.ndarray) -> np.ndarray:
     """
     if len(text) < 2:
         return np.zeros(0, np.int64)
-    latin = np.zeros(len(text), bool)  # second byte of a Latin letter
-    latin[1:] = (text[:-1] == 0xC3) & (text[1:] != 0x97) & (text[1:] != 0xB7)
-    letter = _LETTER[text] | latin
-    mark = _MARK[text]
-    lead = np.append((text[:-1] == 0xC3) & latin[1:], False)
-    before, after = slice(None, -1), slice(1, None)
-    found = SPACE[text[after]] & (letter | mark | (text >= 48) & (text <= 57))[before]
-    found |= letter[before] & mark[after]
-    found |= mark[before] & (text[before] != 39) & (_LETTER[text] | lead)[after]
-    found |= (SPACE[text] & (text != 32))[before] & (letter | mark | lead)[after]
-    return np.flatnonzero(found) + 1
+    kind = _CLASS[text]
+    second = np.flatnonzero(text[:-1] == 0xC3) + 1  # of a Latin letter, or of a times or division sign
+    kind[second] = np.where((text[second] == 0x97) | (text[second] == 0xB7), 0, _LETTER)
+    return np.flatnonzero(_BORDER[kind[:-1] << 3 | kind[1:]]) + 1
 
 
 class TextEncoder:
@@ -151,7 +151,7 @@ def build(ids: np.ndarray, bounds: np.ndarray) -> bytes:
     rest, planes, zeros, sizes, ones = ids.astype(np.uint32 if levels > 16 else np.uint16), [], [], [], []
     pack = zstandard.ZstdCompressor(level=1).compress
     for k in range(levels - 1, -1, -1):
-        bit = (rest >> rest.dtype.type(k) & rest.dtype.type(1)).astype(bool)
+        bit = (rest & rest.dtype.type(1 << k)) != 0
         raw = np.packbits(bit, bitorder="little")
         blocks = [pack(raw[a : a + BLOCK].tobytes()) for a in range(0, len(raw), BLOCK)]
         per_block = [int(_ONES[raw[a : a + BLOCK]].sum(dtype=np.int64)) for a in range(0, len(raw), BLOCK)]
@@ -253,7 +253,7 @@ class TokenShard:
         values = np.zeros(self.n, np.uint32 if self.levels > 16 else np.uint16)
         for level in range(self.levels - 1, -1, -1):
             raw = [self.unpack(bytes(self.data[a:b]), max_output_size=BLOCK) for a, b in self.places[level]]
-            bit = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8), count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8), count=self.n, bitorder="little").view(bool)
             out = np.empty_like(values)
             out[~bit] = values[: self.zeros[level]]
             out[bit] = values[self.zeros[level] :] | values.dtype.type(1 << (self.levels - 1 - level))
