@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.chunks import ChunkIds, cut
 from tidemark.llm.textkit import slices, utf8
@@ -279,7 +280,7 @@ class Decoder:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the column ``ids``; one of that name is replaced."""
     kept = [c for c in docs.columns if c != ids]
-    schema = docs.select(kept).schema.add(ids, "array<int>")
+    schema = docs.select(kept).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path)
