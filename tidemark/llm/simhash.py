@@ -218,7 +218,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, text: s
 
 def sketches(docs: DataFrame, words: int, prints: int, wide_words: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fps, wide, size): ``prints`` fingerprints of the set of words, a wide one of the set of shingles."""
-    step = np.uint64(0x9E3779B97F4A7C15)
+    seeds = mix(np.arange(1, max(prints, wide_words) + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = spread_table()
@@ -227,8 +227,8 @@ def sketches(docs: DataFrame, words: int, prints: int, wide_words: int = 16, tex
             for t in batch.column(1):
                 single = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set((t.as_py() or "").encode().lower().split())), np.uint64)
                 shingles = np.unique(shingle_hashes(t.as_py(), words))
-                fps.append(np.array([majority(mix(single + step * np.uint64(k)), spread) for k in range(prints)], np.uint64).view(np.int64))
-                wides.append(np.array([majority(mix(shingles + step * np.uint64(k)), spread) for k in range(wide_words)], np.uint64).tobytes())
+                fps.append(np.array([majority(mix(single + seeds[k]), spread) for k in range(prints)], np.uint64).view(np.int64))
+                wides.append(np.array([majority(mix(shingles + seeds[k]), spread) for k in range(wide_words)], np.uint64).tobytes())
                 sizes.append(len(shingles))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(wides, pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "fps", "wide", "size"])
 
