@@ -45,13 +45,13 @@ from tidemark.llm.textkit import U64, distinct, mix, slices, utf8
 WIDTH = 50
 GRAM = 16
 PIECE = 1 << 19
-ROWS_PER_RANGE = 1024
+ROWS_PER_RANGE = 512
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = U64((1 << 20) - 1)
 #: Triggers, or bytes of phrases, that a task holds before it emits them.
-HOLD_TRIGGERS, HOLD_BYTES = 3_000_000, 32_000_000
+HOLD_TRIGGERS, HOLD_BYTES = 1_500_000, 16_000_000
 #: Bytes of competing phrases whose suffixes are sorted together.
-SORT_BYTES = 2_000_000
+SORT_BYTES = 1_000_000
 
 _powers = np.concatenate([np.ones(1, U64), np.cumprod(np.full(PIECE + 2 * WIDTH, _BASE, U64))])
 _inverses = np.concatenate([np.ones(1, U64), np.cumprod(np.full(PIECE + 2 * WIDTH, pow(_BASE, -1, 1 << 64), U64))])
@@ -216,7 +216,7 @@ def first_documents(sizes: np.ndarray, left: np.ndarray, least: np.ndarray, text
     """
     counts = sizes - WIDTH + 1
     begin = np.cumsum(sizes) - sizes
-    phrase = np.repeat(np.arange(len(sizes)), counts)
+    phrase = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
     out = least[phrase].copy()
     at = begin + left
     grams = np.ndarray((max(0, len(text) - 7),), "<u8", np.ascontiguousarray(text), 0, (1,))
@@ -309,6 +309,7 @@ def _write_dictionary(docs: DataFrame, bits: int, folder: str) -> None:
                 at += n * np.dtype(kind).itemsize
             columns[5].append(np.frombuffer(raw, np.uint8, -1, at))
         key, least, most, left, size, text = (np.concatenate(c) for c in columns)
+        del columns, raw
         left, size = left.astype(np.int64), size.astype(np.int64)
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
