@@ -153,11 +153,16 @@ def similar(wide: np.ndarray, sizes: np.ndarray, least: float) -> Callable[[np.n
     return near
 
 
-def _buckets(rows: DataFrame, masks: DataFrame) -> DataFrame:
+def _buckets(rows: DataFrame, masks: list[tuple[int, int, int]], first: bool) -> DataFrame:
     """The rows of one level dealt to the buckets of the next."""
-    keyed = rows.join(F.broadcast(masks), rows["mask"] == masks["parent"])
     kept = [c for c in rows.columns if c != "mask"]
-    return keyed.select(*kept, F.col("number").alias("mask"), F.col("fp").bitwiseAND(F.col("bits")).alias("key"))
+    if first:
+        each = F.array(*(F.struct(F.lit(n).alias("number"), F.lit(b).alias("bits")) for parent, n, b in masks if parent == 0))
+        keyed = rows.select(*kept, F.explode(each).alias("m")).select(*kept, "m.*")
+    else:  # a mask has a fixed number of masks below it
+        below = rows.sparkSession.createDataFrame(masks, "parent int, number int, bits long")
+        keyed = rows.join(F.broadcast(below), rows["mask"] == below["parent"])
+    return keyed.select(*kept, F.col("number").alias("mask"), F.col("fp").bitwiseAND(F.col("bits").cast("long")).alias("key"))
 
 
 def links(rows: DataFrame, radius: int = 3, bucket: int = BUCKET, similarity: float | None = None) -> DataFrame:
@@ -167,9 +172,7 @@ def links(rows: DataFrame, radius: int = 3, bucket: int = BUCKET, similarity: fl
     ``radius`` bits, and are linked by that, or with ``similarity`` by their
     columns ``wide`` and ``size``.
     """
-    spark = rows.sparkSession
     all_masks = mask_rows(radius)
-    masks = spark.createDataFrame(all_masks, "parent int, number int, bits long")
     parents = {p for p, _, _ in all_masks}
     held = ["fp", "rep"] if similarity is None else ["fp", "rep", "wide", "size"]
 
@@ -189,7 +192,7 @@ def links(rows: DataFrame, radius: int = 3, bucket: int = BUCKET, similarity: fl
 
     level, found = rows.select("print", *held, F.lit(0).alias("mask")), []
     while True:
-        keyed = _buckets(level, masks)
+        keyed = _buckets(level, all_masks, not found)
         sizes = materialize(keyed.groupBy("print", "mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
         large = sizes.where(F.col("n") > bucket).select("mask").distinct().collect()  # masks, a fixed number
         last = not parents & {r["mask"] for r in large}
