@@ -144,7 +144,7 @@ def decode(place: Place, shape: Shape) -> tuple[Column, Column]:
         return ok, text.try_cast("date") if k == "date" else text
     if k == "option":
         ok, inner = decode(place, shape.item)
-        none = place.bind(F.coalesce(F.is_variant_null(value), _true))
+        none = place.bind(value.isNull() | F.is_variant_null(value))
         return none | ok, F.when(~none, inner)
     if k == "bytes":
         numbers = place.bind(items_of(value))
