@@ -169,19 +169,21 @@ def decode(place: Place, shape: Shape) -> tuple[Column, Column]:
     if k == "record":
         held = place.bind(F.map_keys(members_of(value)))
         parts = [(m, *decode(place.member(m.name), m.shape)) for m in shape.members]
-        ok = _all([has_keys(held, shape), *(p[1] for p in parts)])
+        ok = _all([has_keys(held, *_keys_of(shape)), *(p[1] for p in parts)])
         return ok, F.struct(*(p[2].alias(p[0].name) for p in parts)) if parts else F.struct(F.lit(None).cast("void").alias("_"))
     if k == "enum":
         return _enum(place, shape)
     raise ValueError(f"unknown shape {k}")
 
 
-def has_keys(keys: Column, shape: Shape) -> Column:
+def has_keys(keys: Column, allowed: Column, required: Column) -> Column:
     """The key set of a record: nothing unknown, and all that must be there."""
-    allowed = [m.name for m in shape.members]
-    required = [m.name for m in shape.members if not m.optional]
-    text = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
-    return keys.isNotNull() & (F.size(F.array_except(keys, text(allowed))) == 0) & (F.size(F.array_except(text(required), keys)) == 0)
+    return F.coalesce(keys.isNotNull() & (F.size(F.array_except(keys, allowed)) == 0) & (F.size(F.array_except(required, keys)) == 0), _false)
+
+
+def _keys_of(shape: Shape) -> tuple[Column, Column]:
+    texts = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    return texts([m.name for m in shape.members]), texts([m.name for m in shape.members if not m.optional])
 
 
 def _enum(place: Place, shape: Shape) -> tuple[Column, Column]:

@@ -66,13 +66,12 @@ def upgrade(
     rows = binder.add_to(rows)
     rows = rows.withColumns(parts) if parts else rows
 
-    good = F.lit(False)
-    for k, versions in _contracts(history, typed).items():
-        shape, wanted = history.shape_at(versions[0]), k[1]
-        one = has_keys(F.col("__keys"), shape)
-        for n in wanted:
-            one = one & F.col(f"__good{n}")
-        good = F.when(F.col("__version").isin(versions), one).otherwise(good)
+    # a field must be right in the versions that have it in this type
+    good = has_keys(F.col("__keys"), *_key_sets(history, F.col("__version")))
+    for (field_name, shape), n in typed.items():
+        own = [v for v in history.retained_versions() for f in history.fields_at(v) if f.name == field_name and f.shape_at(v) == shape]
+        here = F.col("__version").between(own[0], own[-1]) if len(own) == own[-1] - own[0] + 1 else F.col("__version").isin(own)
+        good = good & (~here | F.col(f"__good{n}"))
     problem = (
         F.when(~right_name, error("TypeMismatch", F.col("__name"), F.col("__version"), cause=F.lit(f"expected {history.name}")))
         .when(~supported, error("UnsupportedVersion", F.col("__name"), F.col("__version")))
@@ -105,11 +104,10 @@ def upgrade(
     return rows.select(*kept, F.col("__version").alias("source_version"), F.when(F.col("__error").isNull(), current).alias("record"), F.col("__error").alias("error"))
 
 
-def _contracts(history: History, typed: dict) -> dict[tuple, list[int]]:
-    """Versions by their contract: those without a change share one."""
-    found: dict[tuple, list[int]] = {}
-    for v in history.retained_versions():
-        shape = history.shape_at(v)
-        key = (tuple((m.name, m.optional) for m in shape.members), tuple(typed[m.name, m.shape] for m in shape.members))
-        found.setdefault(key, []).append(v)
-    return found
+def _key_sets(history: History, version: Column) -> tuple[Column, Column]:
+    """The keys that a version may have, and those that it must have."""
+    texts = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    shapes = [history.shape_at(v) for v in history.retained_versions()]
+    at = (version - 1).cast("int")
+    allowed = F.get(F.array(*(texts([m.name for m in s.members]) for s in shapes)), at)
+    return allowed, F.get(F.array(*(texts([m.name for m in s.members if not m.optional]) for s in shapes)), at)
