@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.profiles import CANONICAL, CHECKS
 from tidemark.shapes import FLOATS, INTEGERS, PROFILES, Shape
 
-_true, _false = F.lit(True), F.lit(False)
-
 
 def parse(text: Column) -> Column:
     """[value, guard] as a variant, or null if ``text`` is not one JSON value."""
@@ -90,9 +88,9 @@ def items_of(value: Column) -> Column:
 
 
 def _all(conditions: list[Column]) -> Column:
-    out = _true
+    out = F.lit(True)
     for c in conditions:
-        out = out & F.coalesce(c, _false)
+        out = out & F.coalesce(c, F.lit(False))
     return out
 
 
@@ -148,18 +146,18 @@ def decode(place: Place, shape: Shape) -> tuple[Column, Column]:
         return none | ok, F.when(~none, inner)
     if k == "bytes":
         numbers = place.bind(items_of(value))
-        ok = numbers.isNotNull() & F.forall(numbers, lambda x: F.coalesce((kind_of(x) == "BIGINT") & F.try_variant_get(x, "$", "bigint").between(0, 255), _false))
+        ok = numbers.isNotNull() & F.forall(numbers, lambda x: F.coalesce((kind_of(x) == "BIGINT") & F.try_variant_get(x, "$", "bigint").between(0, 255), F.lit(False)))
         digits = F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(F.try_variant_get(x, "$", "bigint")), 2, "0")), "")
         return ok, F.unhex(digits)
     if k in ("list", "array", "set"):
         items = place.bind(items_of(value))
-        ok = items.isNotNull() & F.forall(items, lambda x: F.coalesce(decode(Place(x), shape.item)[0], _false))
+        ok = items.isNotNull() & F.forall(items, lambda x: F.coalesce(decode(Place(x), shape.item)[0], F.lit(False)))
         if k == "array":
             ok = ok & (F.size(items) == shape.size)
         return ok, F.transform(items, lambda x: decode(Place(x), shape.item)[1])
     if k == "map":
         held = place.bind(members_of(value))
-        ok = held.isNotNull() & F.forall(F.map_values(held), lambda x: F.coalesce(decode(Place(x), shape.item)[0], _false))
+        ok = held.isNotNull() & F.forall(F.map_values(held), lambda x: F.coalesce(decode(Place(x), shape.item)[0], F.lit(False)))
         return ok, F.transform_values(held, lambda _, x: decode(Place(x), shape.item)[1])
     if k == "tuple":
         items = place.bind(items_of(value))
@@ -178,7 +176,7 @@ def decode(place: Place, shape: Shape) -> tuple[Column, Column]:
 
 def has_keys(keys: Column, allowed: Column, required: Column) -> Column:
     """The key set of a record: nothing unknown, and all that must be there."""
-    return F.coalesce(keys.isNotNull() & (F.size(F.array_except(keys, allowed)) == 0) & (F.size(F.array_except(required, keys)) == 0), _false)
+    return F.coalesce(keys.isNotNull() & (F.size(F.array_except(keys, allowed)) == 0) & (F.size(F.array_except(required, keys)) == 0), F.lit(False))
 
 
 def _keys_of(shape: Shape) -> tuple[Column, Column]:
@@ -193,7 +191,7 @@ def _enum(place: Place, shape: Shape) -> tuple[Column, Column]:
     held = place.bind(members_of(place.value))
     tag = place.bind(F.coalesce(name, F.when(F.size(held) == 1, F.get(F.map_keys(held), F.lit(0)))), 1)
     payload = place.bind(F.get(F.map_values(held), F.lit(0)), 1)
-    ok = F.when(name.isNotNull(), name.isin(*units) if units else _false)
+    ok = F.when(name.isNotNull(), name.isin(*units) if units else F.lit(False))
     columns = [tag.alias("tag")]
     for t, kind, s in shape.variants:
         if kind == "unit":
@@ -201,9 +199,9 @@ def _enum(place: Place, shape: Shape) -> tuple[Column, Column]:
             continue
         own = Place(payload, place.text, f"{place.path}['{t}']", place.binder, place.level + 2)
         good, out = decode(own, s)
-        ok = ok.when(tag == t, F.coalesce(good, _false))
+        ok = ok.when(tag == t, F.coalesce(good, F.lit(False)))
         columns.append(F.when(tag == t, out).alias(t))
-    return ok.otherwise(_false), F.struct(*columns)
+    return ok.otherwise(F.lit(False)), F.struct(*columns)
 
 
 def encode(value: Column, shape: Shape) -> Column:

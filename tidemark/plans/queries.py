@@ -53,8 +53,6 @@ def cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("bigint")
 
 
-kind = F.col("error.kind").alias("kind")
-
 # ------------------------------------------------------------ order history
 
 ORDER = History.declare(
@@ -98,7 +96,7 @@ u AS (SELECT *, version < 3 AND c % 97 = 13 AS bad FROM o)
 def upgrade_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove, rename, convert twice, add a constant; some conversions fail."""
     out = upgrade(order_payloads(spark, sf_dir), ORDER, keep=["o_orderkey"])
-    return out.select("o_orderkey", "source_version", "record.cents", "record.label", "record.revision", kind, "error.adjacent_from", "error.cause")
+    return out.select("o_orderkey", "source_version", "record.cents", "record.label", "record.revision", F.col("error.kind").alias("kind"), "error.adjacent_from", "error.cause")
 
 
 @query(ORDER_SQL + "SELECT CASE WHEN bad THEN 'Upcast' END AS kind, version AS source_version, CAST(2 AS BIGINT) AS adjacent_from, CAST(3 AS BIGINT) AS adjacent_to, count(*) AS n_rows FROM u WHERE bad GROUP BY 1, 2")
@@ -127,7 +125,7 @@ def analytics_on_upgraded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decode_unsupported_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A version that is not retained is told before its bytes are read."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 6).alias("version"), F.lit("not JSON").alias("payload"))
-    return upgrade(rows, ORDER, keep=["o_orderkey"]).select("o_orderkey", "source_version", kind)
+    return upgrade(rows, ORDER, keep=["o_orderkey"]).select("o_orderkey", "source_version", F.col("error.kind").alias("kind"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'TypeMismatch' ELSE 'UnsupportedVersion' END AS kind FROM orders")
@@ -135,7 +133,7 @@ def decode_type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored name counts before the version."""
     name = F.when(F.col("o_orderkey") % 2 == 0, "shop.other").otherwise("shop.order")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", name.alias("stable_name"), F.lit(9).alias("version"), F.lit("{}").alias("payload"))
-    return upgrade(rows, ORDER, name="stable_name", keep=["o_orderkey"]).select("o_orderkey", kind)
+    return upgrade(rows, ORDER, name="stable_name", keep=["o_orderkey"]).select("o_orderkey", F.col("error.kind").alias("kind"))
 
 
 # ------------------------------------------------------------- strictness
@@ -158,7 +156,7 @@ def reject_unknown_missing_duplicate(spark: SparkSession, sf_dir: str) -> DataFr
         .otherwise(text(quantity=quoted(q), flag="null"))
     )
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(1).alias("version"), payload.alias("payload"))
-    return upgrade(rows, LINE, keep=["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", kind, "record.quantity")
+    return upgrade(rows, LINE, keep=["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.col("error.kind").alias("kind"), "record.quantity")
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey <= 255 AND l_linenumber <> 3 THEN CAST(l_partkey AS SMALLINT) END AS quantity FROM lineitem")
@@ -196,7 +194,7 @@ def presence_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, k = number("s_nationkey"), F.col("s_suppkey") % 4
     payload = F.when(k == 0, text(held=n)).when(k == 1, text(held="null", open="null")).when(k == 2, text(open=n, held=n)).otherwise(text(open=n))
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(1).alias("version"), payload.alias("payload"))
-    return upgrade(rows, PRESENCE, keep=["s_suppkey"]).select("s_suppkey", kind, "record.held")
+    return upgrade(rows, PRESENCE, keep=["s_suppkey"]).select("s_suppkey", F.col("error.kind").alias("kind"), "record.held")
 
 
 # ------------------------------------------------------------- evolution
@@ -350,7 +348,7 @@ def container_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(1).alias("version"), payload.alias("payload"))
     out = upgrade(rows, SHELF, keep=["vec_id"])
     total = F.aggregate("record.list", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return out.select("vec_id", F.col("record.pair._1").alias("first"), total.alias("list_sum"), F.col("record.by_name")["label"].alias("mapped"), kind)
+    return out.select("vec_id", F.col("record.pair._1").alias("first"), total.alias("list_sum"), F.col("record.by_name")["label"].alias("mapped"), F.col("error.kind").alias("kind"))
 
 
 NESTED = History.declare("shop.document", Field("meta", record(lang=STRING, source=STRING, size=option(record(chars=I64)))), Field("tags", list_of(record(name=STRING))))
