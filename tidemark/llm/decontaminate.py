@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import materialize, without_ids
 from tidemark.llm.textkit import U64, hash_runs, mix, slices, utf8
 
 WINDOW = 8
@@ -213,5 +213,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    found = materialize(held_items(docs, items, text, doc_id).select(F.col("doc_id").alias("__held")).distinct(), "held")
-    return docs.join(found, docs[doc_id] == found["__held"], "left_anti")
+    found = materialize(held_items(docs, items, text, doc_id).select("doc_id").distinct(), "held")
+    return without_ids(docs, found, doc_id)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import materialize, without_ids
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: Cells of 64 bits.  With so many at most, the filter takes under 256 MB of an executor when it is broadcast.
@@ -109,9 +109,8 @@ def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     dropped = materialize(result.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("dropped")), "dropped")
     ids = dropped.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("dropped").alias("__dropped"))
     digest = F.sha2(normalised(F.col(text)).cast("binary"), 256)
-    repeated = rows.groupBy("doc_id", "text_sha256").count().where("count > 1")
-    if repeated.isEmpty():
-        return docs.join(ids, docs[doc_id].eqNullSafe(ids["__id"]), "left_anti")
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return without_ids(docs, dropped, doc_id)
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy(doc_id, digest).orderBy(F.length(F.coalesce(F.col(text), F.lit("")))))

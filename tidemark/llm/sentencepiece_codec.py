@@ -232,7 +232,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = load(path)
-        self.chunks = ChunkIds(lambda chunks: encode_chunks(self.vocabulary, chunks))
+        self.chunks = ChunkIds(lambda chunks: encode_chunks(self.vocabulary, chunks), 500_000)
 
     def rows(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(i, j, ids, counts): the ids of rows i..j, joined, and the number of ids of each."""
@@ -254,12 +254,6 @@ class Encoder:
             yield i, j, ids, total[ends] - total[ends - per_row]
 
 
-@lru_cache(maxsize=2)
-def text_encoder(path: str) -> Encoder:
-    """One for a worker, which keeps its chunks from task to task."""
-    return Encoder(path)
-
-
 class Decoder:
     def __init__(self, path: str):
         v = load(path)
@@ -283,7 +277,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     schema = docs.select(kept).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(path)
+        encoder = Encoder(path)
         for batch in batches:
             for i, j, out, counts in encoder.rows(batch.column(0)):
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(out, pa.int32()))
@@ -307,6 +301,23 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
     return docs.select(F.col(ids).alias("__ids"), *kept).mapInArrow(run, schema)
 
 
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``ids``, ``n_tokens`` and ``decoded``, in one pass; columns of those names are replaced."""
+    kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")]
+    schema = docs.select(kept).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("decoded", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(path), Decoder(path)
+        for batch in batches:
+            for i, j, out, counts in encoder.rows(batch.column(0)):
+                ends = np.cumsum(counts)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out, pa.int32()))
+                texts = pa.array([decoder.decode(r) for r in np.split(out, ends[:-1])], pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), lists, pa.array(counts, pa.int64()), texts], names=schema.names)
+
+    return docs.select(F.col(text).cast("string").alias("__text"), *kept).mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_fallback, ids_crc32, decoded_sha256, exact) for every row, decoded from the ids."""
     import zlib
@@ -315,7 +326,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "do
     names = ["doc_id", "n_tokens", "n_fallback", "ids_crc32", "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = text_encoder(path), Decoder(path)
+        encoder, decoder = Encoder(path), Decoder(path)
         is_byte = np.zeros(len(encoder.vocabulary.scores), bool)
         is_byte[encoder.vocabulary.byte_ids] = True
         for batch in batches:

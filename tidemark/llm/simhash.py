@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import materialize, without_ids
 from tidemark.llm.textkit import mix
 
 SEED = 42
@@ -49,17 +49,14 @@ def spread_table() -> np.ndarray:
     return bits.astype(np.uint8).view("<u8")[:, 0]
 
 
-def majority(hashes: np.ndarray, spread: np.ndarray) -> int:
-    """The bits set in over half of ``hashes``."""
-    n = len(hashes)
-    if not n:
-        return 0
-    ones = np.zeros(64, np.int64)
-    parts = hashes.astype("<u8").view(np.uint8).reshape(n, 8)
-    runs = np.arange(0, n, 255)  # a byte holds a sum of up to 255 bits
-    for k in range(8):
-        ones[8 * k : 8 * k + 8] = np.add.reduceat(spread[parts[:, k]], runs).view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+def majority(hashes: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """For each column of ``hashes``, the bits set in over half of its rows."""
+    n, width = hashes.shape
+    ones = np.zeros(64 * width, np.int64)
+    for k in range(0, n, 255):  # a byte holds a sum of up to 255 bits
+        block = np.ascontiguousarray(hashes[k : k + 255]).astype("<u8", copy=False)
+        ones += spread[block.view(np.uint8)].sum(0).view(np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8") if n else np.zeros(width, np.uint64)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -79,7 +76,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", doc_id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = spread_table()
         for batch in batches:
-            fps = np.array([majority(shingle_hashes(t.as_py(), words), spread) for t in batch.column(1)], np.uint64)
+            fps = np.array([majority(shingle_hashes(t.as_py(), words)[:, None], spread)[0] for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -230,8 +227,8 @@ def sketches(docs: DataFrame, words: int, prints: int, wide_words: int = 16, tex
             for t in batch.column(1):
                 single = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set((t.as_py() or "").encode().lower().split())), np.uint64)
                 shingles = np.unique(shingle_hashes(t.as_py(), words))
-                fps.append(np.array([majority(mix(single + seeds[k]), spread) for k in range(prints)], np.uint64).view(np.int64))
-                wides.append(np.array([majority(mix(shingles + seeds[k]), spread) for k in range(wide_words)], np.uint64).tobytes())
+                fps.append(majority(mix(single[:, None] + seeds[:prints]), spread).view(np.int64))
+                wides.append(majority(mix(shingles[:, None] + seeds[:wide_words]), spread).tobytes())
                 sizes.append(len(shingles))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(wides, pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "fps", "wide", "size"])
 
@@ -248,15 +245,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pr
     wide fingerprint of the shingles decides.
     """
     rows = materialize(sketches(docs, words, prints, text=text, doc_id=doc_id), "sketches")
-    nodes = materialize(rows.where("doc_id IS NOT NULL").groupBy("fps", "wide", "size").agg(F.min("doc_id").alias("rep")), "sketches")
+    key = F.struct(F.xxhash64("wide", "size").alias("wide"), F.xxhash64("fps").alias("fps"))  # 128 bits say which sketch it is
+    nodes = rows.where("doc_id IS NOT NULL").groupBy(key.alias("key")).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fps", "wide", "size")))
+    nodes = materialize(nodes, "sketches")
     placed = nodes.select(F.posexplode("fps").alias("print", "fp"), "rep", "wide", "size")
     joined = materialize(components(links(placed, radius, similarity=similarity)), "components")
-    classes = nodes.join(joined, nodes["rep"] == joined["node"], "left").select("fps", "wide", "size", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(classes, ["fps", "wide", "size"], "left").select("doc_id", "component_id")
+    classes = nodes.join(joined, nodes["rep"] == joined["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    return rows.select("doc_id", key.alias("key")).join(classes, "key", "left").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id."""
     found = near_duplicates(docs, text=text, doc_id=doc_id, **options)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return without_ids(docs, materialize(gone, "gone"), doc_id)

@@ -15,6 +15,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids to take out that are broadcast, under 100 MB of them; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
+    """``docs`` without the rows whose id is in the written table ``ids`` (doc_id); texts stay where they are if that is small."""
+    gone = ids.select(F.col("doc_id").alias("__gone"))
+    if ids.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__gone"]), "left_anti")
+
+
 def local_path(uri: str) -> str | None:
     """The path of a ``file:`` URI or a plain path; None for any other store."""
     parts = urlparse(uri)
