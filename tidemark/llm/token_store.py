@@ -103,8 +103,8 @@ _BORDER = _BORDER.ravel()
 def borders(text: np.ndarray) -> np.ndarray:
     """Places where the tokenizer's own words certainly end.
 
-    White space after a printing character begins a word, and a line end
-    joins no word after it; letters and punctuation are never in one word, but
+    White space after a printing character begins a word, and a single line
+    end joins no word after it; letters and punctuation are never in one word, but
     for what follows an apostrophe.
     """
     if len(text) < 2:
@@ -112,7 +112,10 @@ def borders(text: np.ndarray) -> np.ndarray:
     kind = _CLASS[text]
     second = np.flatnonzero(text[:-1] == 0xC3) + 1  # of a Latin letter, or of a times or division sign
     kind[second] = np.where((text[second] == 0x97) | (text[second] == 0xB7), 0, _LETTER)
-    return np.flatnonzero(_BORDER[kind[:-1] << 3 | kind[1:]]) + 1
+    found = np.flatnonzero(_BORDER[kind[:-1] << 3 | kind[1:]]) + 1
+    # of several white spaces in a row the tokenizer joins some
+    after_line = (kind[found - 1] == _LINE) & (found > 1)
+    return found[~after_line | (kind[found - 2] >= _LETTER) & (kind[found - 2] <= _DIGIT)]
 
 
 class TextEncoder:
