@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import materialize, without_ids
+from tidemark.llm.storage import materialize, small, without_ids
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: Cells of 64 bits.  With so many at most, the filter takes under 256 MB of an executor when it is broadcast.
@@ -68,10 +68,10 @@ def repeated_cells(rows: DataFrame, words: int) -> DataFrame:
 def split_by_filter(rows: DataFrame, words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
     """The rows that may have copies, and those that certainly have none."""
     cells = materialize(repeated_cells(rows, words), "bloom")
-    hint = F.broadcast if cells.count() <= BROADCAST_WORDS else (lambda df: df)
+    cells = small(cells, BROADCAST_WORDS)
     tested = rows
     for k, (word, bit) in enumerate(_cells(words)):
-        side = hint(cells.select(F.col("word").alias(f"w{k}"), F.col("bits").alias(f"bits{k}")))
+        side = cells.select(F.col("word").alias(f"w{k}"), F.col("bits").alias(f"bits{k}"))
         tested = tested.join(side, word == F.col(f"w{k}"), "left").withColumn(f"hit{k}", F.coalesce(F.getbit(f"bits{k}", bit) == 1, F.lit(False)))
     tested = tested.withColumn("maybe", F.col("hit0") & F.col("hit1")).select(*rows.columns, "maybe")
     return tested.where("maybe").drop("maybe"), tested.where("NOT maybe").drop("maybe")
@@ -86,7 +86,8 @@ def resolve(rows: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
         .agg(F.count("*").alias("group_size"), F.max_by(F.struct("doc_id", "row_id"), order).alias("keep"))
         .select("text_sha256", "group_size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row_id").alias("keep_row"))
     )
-    found = maybe.join(groups, "text_sha256").withColumn("kept", F.col("row_id") == F.col("keep_row"))
+    # joined by broadcast, a text in a third of all rows moves no row; beyond that size Spark splits the skewed key
+    found = maybe.join(small(materialize(groups, "groups")), "text_sha256").withColumn("kept", F.col("row_id") == F.col("keep_row"))
     passed = single.select("*", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     columns = ["row_id", "doc_id", *ADDED]
     return found.select(columns).unionByName(passed.select(columns))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.storage import materialize, without_ids
+from tidemark.llm.storage import materialize, small, without_ids
 from tidemark.llm.textkit import mix
 
 SEED = 42
@@ -167,11 +167,11 @@ def links(rows: DataFrame, radius: int = 3, bucket: int = BUCKET, similarity: fl
 
     Rows meet if their fingerprints with the same ``print`` number are within
     ``radius`` bits, and are linked by that, or with ``similarity`` by their
-    columns ``wide`` and ``size``.
+    columns ``wide`` and ``size``.  Every ``rep`` has a row with print 0.
     """
     all_masks = mask_rows(radius)
     parents = {p for p, _, _ in all_masks}
-    held = ["fp", "rep"] if similarity is None else ["fp", "rep", "wide", "size"]
+    held = ["fp", "rep"] if similarity is None else ["rep", "wide", "size"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -187,19 +187,22 @@ def links(rows: DataFrame, radius: int = 3, bucket: int = BUCKET, similarity: fl
                 own = root != np.arange(len(reps))
                 yield pd.DataFrame({"a": reps[own], "b": reps[root[own]]})
 
-    level, found = rows.select("print", *held, F.lit(0).alias("mask")), []
+    # wide fingerprints join only those rows that meet others
+    sketches = None if similarity is None else rows.where("print = 0").select("rep", "wide", "size")
+    level, found = rows.select("print", "fp", "rep", F.lit(0).alias("mask")), []
     while True:
         keyed = _buckets(level, all_masks, not found)
         sizes = materialize(keyed.groupBy("print", "mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
         large = sizes.where(F.col("n") > bucket).select("mask").distinct().collect()  # masks, a fixed number
         last = not parents & {r["mask"] for r in large}
-        met = keyed.join(sizes, ["print", "mask", "key"])
-        small = met if last else met.where(F.col("n") <= bucket)
+        met = materialize(keyed.join(small(sizes), ["print", "mask", "key"]), "buckets")
+        own = met if last else met.where(F.col("n") <= bucket)
+        own = own if sketches is None else own.join(sketches, "rep")
         members = F.collect_list(F.struct(*held)).alias("members")
-        found.append(small.groupBy("print", "mask", "key").agg(members).select("members").mapInPandas(run, "a long, b long"))
+        found.append(own.groupBy("print", "mask", "key").agg(members).select("members").mapInPandas(run, "a long, b long"))
         if last:
             break
-        level = met.where(F.col("n") > bucket).select("print", *held, "mask")
+        level = met.where(F.col("n") > bucket).select("print", "fp", "rep", "mask")
     out = found[0]
     for df in found[1:]:
         out = out.unionAll(df)

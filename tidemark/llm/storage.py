@@ -43,11 +43,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
+def small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The written table ``df`` of narrow rows, marked for broadcast if it has ``most`` rows or fewer."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
     """``docs`` without the rows whose id is in the written table ``ids`` (doc_id); texts stay where they are if that is small."""
-    gone = ids.select(F.col("doc_id").alias("__gone"))
-    if ids.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
+    gone = small(ids).select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs[doc_id].eqNullSafe(gone["__gone"]), "left_anti")
 
 
