@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import materialize, small
 
 
 BITS = 16
@@ -132,9 +132,9 @@ def temperature(logits: np.ndarray, classes: np.ndarray) -> float:
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of the rows (doc_id, text, lang), none of them null."""
-    sizes = labelled.groupBy("lang").count()
+    sizes = materialize(labelled.groupBy("lang").count(), "languages")
     order = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    sample = labelled.join(F.broadcast(sizes), "lang").where(order * F.col("count") < F.lit(float(per_language) * (1 << 30))) if not sizes.isEmpty() else None
+    sample = labelled.join(small(sizes), "lang").where(order * F.col("count") < F.lit(float(per_language) * (1 << 30))) if not sizes.isEmpty() else None
     if sample is None:
         return None
     df, n = document_frequencies(labelled)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import map_blob, new_path, write_blob
-from tidemark.llm.textkit import U64, Words, distinct, mix, slices, utf8
+from tidemark.llm.textkit import U64, Words, distinct, mix, runs, slices, utf8
 
 END = U64(0x5EED0E0D5EED0E0D)
 ROWS_PER_RANGE = 2048
@@ -128,10 +128,9 @@ class WordTable:
         """(number or -1, count, statistics) of sorted distinct hashes."""
         number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         found = np.zeros((5, len(hashes)), np.int64)
-        at = np.searchsorted(_range_of(hashes, self.bits), np.arange((1 << self.bits) + 1))
-        for part, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        for part, a, b in runs(_range_of(hashes, self.bits)):
             n = int(self.offsets[part + 1] - self.offsets[part])
-            if b == a or not n:
+            if not n:
                 continue
             raw = self._map("words", part)
             known = raw[: 8 * n].view(U64)
@@ -184,8 +183,8 @@ def train(texts: DataFrame) -> Model:
     """Count the rows (text) and write the model's files."""
     spark = texts.sparkSession
     folder = new_path(spark, "ngrams")
-    pair_bits = max(3, min(14, max(1, texts.count() // ROWS_PER_RANGE).bit_length()))
-    bits = max(1, pair_bits - 3)
+    pair_bits = max(3, min(16, max(1, texts.count() // ROWS_PER_RANGE).bit_length()))
+    bits = max(1, min(10, pair_bits - 3))
     texts = texts.select("text")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +314,7 @@ class Scorer:
         """The counts of distinct sorted keys."""
         out, part = np.zeros(len(keys), np.int64), _range_of(mix(keys), self.model.pair_bits)
         order = np.argsort(part, kind="stable")
-        at = np.searchsorted(part[order], np.arange((1 << self.model.pair_bits) + 1))
-        for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if b == a:
-                continue
+        for p, a, b in runs(part[order]):
             known, places, large, small = self._pairs(p)
             if not len(known):
                 continue

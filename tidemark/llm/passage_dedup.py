@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import map_blob, new_path, write_blob
-from tidemark.llm.textkit import U64, distinct, mix, slices, utf8
+from tidemark.llm.textkit import U64, distinct, mix, runs, slices, utf8
 
 WIDTH = 50
 GRAM = 16
@@ -117,9 +117,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndar
             yield i, text, np.array([len(text)]), at - a
 
 
-def _by_range(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Where each hash range begins in sorted hashes."""
-    return np.searchsorted(hashes >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
+def _by_range(hashes: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(range, start, end) of the hash ranges in sorted hashes."""
+    return runs((hashes >> U64(64 - bits)).astype(np.int64))
 
 
 def _short(hashes: np.ndarray) -> bytes:
@@ -147,8 +147,7 @@ def _find_triggers(docs: DataFrame, bits: int, folder: str) -> int:
         first = np.flatnonzero(np.append(True, triggers[1:] != triggers[:-1]))
         many = np.minimum.reduceat(rows, first) != np.maximum.reduceat(rows, first)
         triggers = triggers[first]
-        at = _by_range(triggers, bits)
-        parts = [(k, triggers[a:b], many[a:b]) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+        parts = [(k, triggers[a:b], many[a:b]) for k, a, b in _by_range(triggers, bits)]
         columns = [pa.array([k for k, *_ in parts], pa.int32()), pa.array([_short(t[~m]) for _, t, m in parts], pa.binary()), pa.array([_short(t[m]) for _, t, m in parts], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names=["part", "once", "many"])
 
@@ -262,16 +261,14 @@ def _write_dictionary(docs: DataFrame, bits: int, folder: str) -> None:
         first = np.flatnonzero(new)
         least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
         k = order[first]
-        at = np.searchsorted(trigger[k] >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
         pack = zstandard.ZstdCompressor(level=1).compress
         parts, blobs = [], []
-        for part, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if b > a:
-                own = k[a:b]
-                ends = np.cumsum(size[own])
-                raw = text[np.repeat(begin[own] - (ends - size[own]), size[own]) + np.arange(int(ends[-1]))]
-                parts.append(part)
-                blobs.append(pack(b"".join([np.int64(b - a).tobytes(), key[own].tobytes(), least[a:b].tobytes(), most[a:b].tobytes(), left[own].astype(np.uint8).tobytes(), size[own].astype(np.uint8).tobytes(), raw.tobytes()])))
+        for part, a, b in _by_range(trigger[k], bits):
+            own = k[a:b]
+            ends = np.cumsum(size[own])
+            raw = text[np.repeat(begin[own] - (ends - size[own]), size[own]) + np.arange(int(ends[-1]))]
+            parts.append(part)
+            blobs.append(pack(b"".join([np.int64(b - a).tobytes(), key[own].tobytes(), least[a:b].tobytes(), most[a:b].tobytes(), left[own].astype(np.uint8).tobytes(), size[own].astype(np.uint8).tobytes(), raw.tobytes()])))
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,10 +279,10 @@ def _write_dictionary(docs: DataFrame, bits: int, folder: str) -> None:
             for i, text, sizes, _ in pieces(data, offsets):
                 p = Phrases(text, sizes)
                 order = np.argsort(p.trigger)
-                at, hit = _by_range(p.trigger[order], bits), np.zeros(len(order), bool)
-                for part, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                hit = np.zeros(len(order), bool)
+                for part, a, b in _by_range(p.trigger[order], bits):
                     known = _mapped(cache, folder, "triggers", part).view(U64)
-                    if b > a and len(known):
+                    if len(known):
                         wanted = p.trigger[order[a:b]] & ~U64((1 << 24) - 1)
                         hit[a:b] = known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
                 k = np.sort(order[hit])
@@ -349,11 +346,8 @@ def _unpack_phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _removed(p: Phrases, own: np.ndarray, bits: int, lookup) -> np.ndarray:
     """(row, start, end) of the bytes to remove; ``own`` has the document of each row."""
     order = np.lexsort([p.key, p.trigger >> U64(64 - bits)])
-    at = np.searchsorted(p.trigger[order] >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
     found = [np.zeros((0, 3), np.int64)]
-    for part, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-        if b == a:
-            continue
+    for part, a, b in _by_range(p.trigger[order], bits):
         keys, pointers, docs, places = lookup(part)
         if not len(keys):
             continue

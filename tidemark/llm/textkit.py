@@ -104,3 +104,11 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = np.empty(len(found), np.int64)
     number[order] = np.arange(len(found))
     return found[order], first[order], number[codes]
+
+
+def runs(parts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, start, end) of each run of equal values in ``parts``."""
+    if not len(parts):
+        return []
+    first = np.flatnonzero(np.append(True, parts[1:] != parts[:-1]))
+    return list(zip(parts[first].tolist(), first.tolist(), [*first[1:].tolist(), len(parts)], strict=True))
