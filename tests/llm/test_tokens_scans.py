@@ -148,6 +148,8 @@ SCANS = {
     11: "pass=abc1 only",
     12: f"{KEY} beside wJalrXUtnFEMI0K7MDENGb1PxRfiCYEXAMPLEKEY",
     13: "see https://clean.example/page for more",
+    14: 'ann@corp.example has token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" on 10.0.0.7:5432.',
+    15: "write to ann@corp.example or 10.0.0.7",
 }
 
 
@@ -174,7 +176,8 @@ def test_secrets(spark):
         assert set(filter(None, text.split(","))) <= set(got[i]["spans"].split(","))
     linked = {i: {s.split(":")[0] for s in got[i]["spans"].split(",")} - {"assign", "access", "hex", ""} for i in SCANS}
     assert linked[9] == {"identifier", "secret", "endpoint"}
-    assert linked[10] == linked[11] == linked[13] == set()
+    assert linked[10] == linked[11] == linked[13] == linked[15] == set()
+    assert linked[14] == {"identifier", "endpoint"}
     assert linked[12] == {"secret"}
     assert SCANS[12][int(got[12]["spans"].split(",")[1].split(":")[1]) :] == "wJalrXUtnFEMI0K7MDENGb1PxRfiCYEXAMPLEKEY"
 

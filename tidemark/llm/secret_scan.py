@@ -40,6 +40,8 @@ SECRET_WORDS = ("pass", "pwd", "pw", "pin", "key", "auth", "credential", "secret
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}(?![A-Za-z0-9+/])")
 ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+]*://[^\s"'<>]+|(?:host|server|endpoint|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})""", re.I | re.A)
 ENDPOINT_WORDS = ("://", "host", "server", "endpoint", "url")
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+ADDRESS = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?(?![\w.]*\d)")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,6 +61,9 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         for kind, pattern, words in ((3, IDENTIFIER, IDENTIFIER_WORDS), (4, SECRET, SECRET_WORDS), (5, ENDPOINT, ENDPOINT_WORDS)):
             if any(w in lower for w in words):
                 found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
+    if "@" in text:  # accounts are often named by an address
+        found += [(m.start(), 3, m.end()) for m in EMAIL.finditer(text)]
+    found += [(m.start(), 5, m.end()) for m in ADDRESS.finditer(text)]
     for m in OPAQUE.finditer(text):
         if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]):
             found.append((m.start(), 4, m.end()))
