@@ -54,9 +54,10 @@ def upgrade(
 
     # each distinct field and type once
     typed: dict[tuple[str, Shape], int] = {}
+    users: dict[int, list[int]] = {}
     for v in history.retained_versions():
         for f in history.fields_at(v):
-            typed.setdefault((f.name, f.shape_at(v)), len(typed))
+            users.setdefault(typed.setdefault((f.name, f.shape_at(v)), len(typed)), []).append(v)
     binder = Binder()
     place = Place(F.col("__root"), F.col("__text"), root, binder)
     parts = {}
@@ -68,8 +69,7 @@ def upgrade(
 
     # a field must be right in the versions that have it in this type
     good = has_keys(F.col("__keys"), *_key_sets(history, F.col("__version")))
-    for (field_name, shape), n in typed.items():
-        own = [v for v in history.retained_versions() for f in history.fields_at(v) if f.name == field_name and f.shape_at(v) == shape]
+    for n, own in users.items():
         here = F.col("__version").between(own[0], own[-1]) if len(own) == own[-1] - own[0] + 1 else F.col("__version").isin(own)
         good = good & (~here | F.col(f"__good{n}"))
     problem = (
@@ -79,22 +79,24 @@ def upgrade(
     )
     rows = rows.withColumn("__error", problem)
 
-    inputs = lambda v: {f.name: F.col(f"__in{typed[f.name, f.shape_at(v)]}") for f in history.fields_at(v)}
-    columns = inputs(1)
+    source = lambda v, f: F.col(f"__in{typed[f.name, f.shape_at(v)]}")
+    columns = {f.name: source(1, f) for f in history.fields_at(1)}
     for v in range(1, history.head):
         before = F.col("__version") <= v
         made, causes, following = {}, [], {}
         for f in history.fields_at(v + 1):
             shape, rule = f.shape_at(v + 1), f.rule_at(v + 1)
-            own = inputs(v + 1)[f.name]
             if rule is None:
                 following[f.name] = columns[f.name]
                 continue
+            own = source(v + 1, f)
             out = converted(rule, Previous(columns), shape)
+            if rule[1] is None:  # a constant takes no projection of its own
+                following[f.name] = F.when(before, out.value).otherwise(own)
+                continue
             made[f"__at{v + 1}_{f.name}"] = F.when(before, out.value).otherwise(own)
             following[f.name] = F.col(f"__at{v + 1}_{f.name}")
-            if rule[1] is not None:
-                causes.append(out.error)
+            causes.append(out.error)
         if causes:
             cause = F.when(before & F.col("__error").isNull(), F.coalesce(*causes))
             made["__error"] = F.when(cause.isNotNull(), error("Upcast", F.col("__name"), F.col("__version"), v, cause)).otherwise(F.col("__error"))
@@ -106,7 +108,7 @@ def upgrade(
 
 def _key_sets(history: History, version: Column) -> tuple[Column, Column]:
     """The keys that a version may have, and those that it must have."""
-    texts = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    texts = lambda names: F.split(F.lit(",".join(names)), ",") if names else F.array().cast("array<string>")  # noqa: E731  constant, so folded
     shapes = [history.shape_at(v) for v in history.retained_versions()]
     at = (version - 1).cast("int")
     allowed = F.get(F.array(*(texts([m.name for m in s.members]) for s in shapes)), at)
