@@ -6,17 +6,21 @@ base columns what must come out.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import ledger as L
+from tidemark.functions.msgpack import payload_json
 from tidemark.functions.names import bad_segment, valid_name
 from tidemark.history import Fallible, Field, History, Update
 from tidemark.operators import error_summary, from_versioned, inspect_envelopes, redact, split_ok_failed, to_versioned, upgrade
 from tidemark.operators.redaction import template
 from tidemark.shapes import BOOL, DATE, DECIMAL, F64, I32, I64, I128, LOCAL_DATETIME, LOCAL_TIME, OFFSET_DATETIME, STRING, U8, U32, U64, U128, UTC_INSTANT, UUID, array_of, enum, list_of, map_of, option, record, set_of, tuple_of
+from tidemark.shared import shared_dir
+from tidemark.streaming import route, upgraded_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -403,6 +407,37 @@ def profile_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "record.clock", "record.local", "record.instant", F.col("record.offset").alias("offset_text"))
 
 
+# ------------------------------------------------- other codecs, streams
+
+PACKED = History.declare("shop.packed", Field("key", I64), Field("priority", STRING), Field("label", STRING, added_in=2, using=lambda p: F.lower(p.priority)))
+
+
+@query("SELECT o_orderkey AS key, o_orderpriority AS priority, lower(o_orderpriority) AS label, o_orderkey % 5 <> 0 AS decoded FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT NULL, NULL, NULL, FALSE FROM orders WHERE o_orderkey % 5 = 0")
+def messagepack_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named maps in MessagePack; input after the value is refused."""
+    name = lambda n: F.concat(F.lit(f"{0xA0 + len(n):02X}"), F.hex(F.lit(n)))
+    key = F.concat(F.lit("D3"), F.lpad(F.hex("o_orderkey"), 16, "0"))
+    priority = F.concat(F.lit("D9"), F.lpad(F.hex(F.octet_length("o_orderpriority").cast("bigint")), 2, "0"), F.hex("o_orderpriority"))
+    tail = F.when(F.col("o_orderkey") % 5 == 0, "C0").otherwise("")
+    raw = F.unhex(F.concat(F.lit("82"), name("key"), key, name("priority"), priority, tail))
+    rows = table(spark, sf_dir, "orders").select(F.lit(1).alias("version"), raw.alias("raw"))
+    rows = rows.select("version", payload_json(F.col("raw"), F.col("version"), PACKED).alias("payload"))
+    out = upgrade(rows, PACKED, keep=[])
+    return out.select("record.key", "record.priority", "record.label", F.col("record").isNotNull().alias("decoded"))
+
+
+@query("SELECT event_id, event_type AS kind, user_id AS user FROM events WHERE event_id % 3 <> 0")
+def stream_upgrade_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upgrade over a stream of the table, good and failed rows routed apart."""
+    base = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(base.schema).parquet(f"{sf_dir}/event[s].parquet")
+    payload = text(kind=quoted("event_type"), user=number("user_id"), value=F.when(F.col("event_id") % 3 == 0, F.lit('"x"')).otherwise("1"))
+    stored = stream.select("event_id", text(stable_name='"shop.event"', version="1", payload=payload).alias("envelope"))
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    route(upgraded_stream(stored, EVENT), f"{folder}/ok", f"{folder}/failed", f"{folder}/progress").awaitTermination()
+    return spark.read.parquet(f"{folder}/ok").select("event_id", "kind", "user")
+
+
 # ------------------------------------------------------------- names, ledger
 
 
