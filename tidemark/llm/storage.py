@@ -1,15 +1,11 @@
 """Intermediate tables and array files in the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir``.  Only a local session, where that
-setting is usually empty, falls back to a folder under the temp directory; a
-cluster session without it is refused, as its executors could not see each
-other's files.
+The folder is ``spark.checkpoint.dir``; see ``tidemark.shared``.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
@@ -17,15 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The root of the shared folder, from the session's settings."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/tidemark-{spark.sparkContext.applicationId}"
+from tidemark.shared import shared_dir
 
 
 def new_path(spark: SparkSession, label: str) -> str:
