@@ -119,7 +119,7 @@ def test_prediction_ignores_labels_and_reads_whole_texts(spark, spoken):
     model = L.fit(L.labelled_rows(docs))
     r = random.Random(9)
     tail = speech(r, "aa", 40) + " " + speech(r, "bb", 4000)
-    texts = make(spark, [(1, tail, "aa"), (2, tail, None), (3, None, "aa"), (4, "", "aa"), (5, "123 !?", "aa"), (6, "é" * 3 * L.PIECE, None)])
+    texts = make(spark, [(1, tail, "aa"), (2, tail, None), (3, None, "aa"), (4, "", "aa"), (5, "123 !? ²³", "aa"), (6, "é" * 3 * L.PIECE, None)])
     out = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in L.predict(texts, model, kept=("doc_id",)).collect()}
     assert out[1] == out[2] and out[1][0] == "bb"
     assert out[3] == out[4] == out[5] == ("und", 0.0)
@@ -191,6 +191,17 @@ def test_wrappers_fold_and_align():
     assert H.align(one, one) == one
 
 
+def test_irregular_streams_get_a_loose_wrapper(spark):
+    r = random.Random(1)
+    blocks = lambda n: "".join(r.choice(("<p>a</p>", "<h2>b</h2>", "<ul><li>c</li></ul>", "<div><p>d</p></div>")) for _ in range(n))
+    rows = [(k, "http://g/", page(k, f"<article>{blocks(n)}</article>")) for k, n in enumerate((2000, 1500, 30, 30, 30, 30, 30, 30))]
+    rows.append((99, "http://g/", "<div>" * 3000 + "deep" + "</div>" * 3000))
+    out = {x["page_id"]: x for x in H.extract(pages(spark, rows)).collect()}
+    assert len(out) == 9 and all(x["text"].count("\n\n") >= 29 for k, x in out.items() if k != 99)
+    nodes = ("a", ("?", ("b", ("+", ("c",)))))
+    assert H.leaves(nodes) == ["a", "b", "c"] and H.deep(nodes, 1) and not H.deep(nodes, 2)
+
+
 def test_hosts_share_wrappers(spark):
     rows = [(k, f"http://{'ab'[k % 2]}.example/{k}", page(k, f"<article><p>t{k}</p></article>")) for k in range(10)]
     df = pages(spark, rows)

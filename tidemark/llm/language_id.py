@@ -33,7 +33,7 @@ BITS = 16
 #: Expected rows of a language that the weights are trained on.
 PER_LANGUAGE = 1000
 PIECE = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
+_PLAIN = re.compile("[A-Za-z]")
 UNDETERMINED = "und"
 
 
@@ -45,6 +45,10 @@ class Model:
     temperature: float
 
 
+def has_letter(text: str) -> bool:
+    return bool(_PLAIN.search(text)) or any(map(str.isalpha, text))
+
+
 def features(text: str) -> Iterator[np.ndarray]:
     """The hashed n-grams of a text, each occurrence, in pieces of bounded size."""
     text = text.lower()
@@ -176,7 +180,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", kept: tupl
             langs, scores = [], []
             for t in batch.column(0):
                 t = t.as_py()
-                if t is None or model is None or not LETTER.search(t):
+                if t is None or model is None or not has_letter(t):
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
