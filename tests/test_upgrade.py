@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions.profiles import CHECKS, canonical_time
-from tidemark.functions.strict_json import Binder, Place, decode, encode, parse
+from tidemark.functions.strict_json import Binder, Place, decode, encode, with_parsed
 from tidemark.history import Fallible, Field, History, Update
 from tidemark.operators import error_summary, from_versioned, inspect_envelopes, redact, split_ok_failed, to_versioned, upgrade
 from tidemark.operators.quality import fail_on_error
@@ -113,7 +113,8 @@ def test_envelopes(spark):
 
 def check(spark, shape, texts):
     binder = Binder()
-    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string").withColumn("p", parse(F.col("t")))
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    df = with_parsed(df, F.col("t"), "p")
     df = df.withColumn("v", F.try_variant_get("p", "$[0]", "variant"))
     ok, value = decode(Place(F.col("v"), F.col("t"), "$", binder), shape)
     df = binder.add_to(df).withColumns({"ok": F.coalesce(ok, F.lit(False)), "value": value})

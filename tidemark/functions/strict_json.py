@@ -18,12 +18,14 @@ from tidemark.functions.profiles import CANONICAL, CHECKS
 from tidemark.shapes import FLOATS, INTEGERS, PROFILES, Shape
 
 
-def parse(text: Column) -> Column:
-    """[value, guard] as a variant, or null if ``text`` is not one JSON value."""
+def with_parsed(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """``df`` with the column ``name``: [value, guard] as a variant, or null if ``text`` is not one JSON value."""
     guard = uuid.uuid4().hex
-    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{guard}"]')))
+    df = df.withColumn(f"{name}_raw", F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{guard}"]'))))
+    raw = F.col(f"{name}_raw")
     # with input after the value, the guard is not the second item, or not the last
-    return F.get(F.filter(F.array(parsed), lambda p: (F.try_variant_get(p, "$[1]", "string") == guard) & F.try_variant_get(p, "$[2]", "variant").isNull()), F.lit(0))
+    whole = (F.try_variant_get(raw, "$[1]", "string") == guard) & F.try_variant_get(raw, "$[2]", "variant").isNull()
+    return df.withColumn(name, F.when(whole, raw)).drop(f"{name}_raw")
 
 
 class Binder:

@@ -34,7 +34,7 @@ class Fallible:
     """A converted value, and the cause if the conversion of a row fails (null if not)."""
 
     value: Column
-    error: Column
+    error: Column | None
 
 
 class Previous:
@@ -171,9 +171,8 @@ def converted(rule: tuple[Any, Using | None], previous: Previous, shape: Shape)
         out = value if isinstance(value, Column) else F.lit(value)
     else:
         out = using(previous)
-    none = F.lit(None).cast("string")
     if isinstance(out, Fallible):
         return Fallible(out.value.try_cast(shape.spark_type()), out.error.cast("string"))
     if not isinstance(out, Column):
         raise HistoryError("a function gives a Column or a Fallible")
-    return Fallible(out.try_cast(shape.spark_type()), none)
+    return Fallible(out.try_cast(shape.spark_type()), None)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import LARGEST_VERSION, valid_name
-from tidemark.functions.strict_json import encode, kind_of, members_of, parse
+from tidemark.functions.strict_json import encode, kind_of, members_of, with_parsed
 from tidemark.history import History
 from tidemark.operators.upgrade import upgrade
 
@@ -18,7 +18,7 @@ def inspect_envelopes(df: DataFrame, envelope: str = "envelope") -> DataFrame:
     name and a whole number from 1 to 2^32 - 1; no other spelling of it counts.
     """
     kept = [c for c in df.columns if c not in ("stable_name", "version", "valid")]
-    rows = df.withColumn("__root", F.try_variant_get(parse(F.col(envelope)), "$[0]", "variant"))
+    rows = with_parsed(df, F.col(envelope), "__envelope_json").withColumn("__root", F.try_variant_get("__envelope_json", "$[0]", "variant"))
     name = F.try_variant_get("__root", "$.stable_name", "variant")
     number = F.try_variant_get("__root", "$.version", "variant")
     version = F.when(kind_of(number) == "BIGINT", F.try_variant_get(number, "$", "bigint"))

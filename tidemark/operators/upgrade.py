@@ -17,20 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.strict_json import Binder, Place, decode, has_keys, members_of, parse
+from tidemark.functions.strict_json import Binder, Place, decode, has_keys, members_of, with_parsed
 from tidemark.history import History, Previous, converted
 from tidemark.shapes import Shape
 
-ERROR_TYPE = "struct<kind:string,stable_name:string,source_version:bigint,adjacent_from:bigint,adjacent_to:bigint,cause:string>"
-
-
-def error(kind: str, name: Column, version: Column, step: int | None = None, cause: Column | None = None) -> Column:
-    none = F.lit(None)
-    parts = (F.lit(kind), name, version, none if step is None else F.lit(step), none if step is None else F.lit(step + 1), none if cause is None else cause)
-    names = ("kind", "stable_name", "source_version", "adjacent_from", "adjacent_to", "cause")
-    return F.struct(*(p.alias(n) for p, n in zip(parts, names, strict=True))).cast(ERROR_TYPE)
-
-
 def upgrade(
     df: DataFrame, history: History, payload: str = "payload", version: str = "version", name: str | None = None, keep: list[str] | None = None, root: str = "$"
 ) -> DataFrame:
@@ -47,7 +37,7 @@ def upgrade(
     rows = df.select(*kept, F.col(payload).cast("string").alias("__text"), stored.alias("__version"), stored_name.cast("string").alias("__name"))
     right_name = F.coalesce(F.col("__name") == history.name, F.lit(False))
     supported = F.coalesce(F.col("__version").between(1, history.head), F.lit(False))
-    rows = rows.withColumn("__parsed", F.when(right_name & supported, parse(F.col("__text"))))
+    rows = with_parsed(rows, F.when(right_name & supported, F.col("__text")), "__parsed")
     at = "$[0]" + root[1:]
     rows = rows.withColumn("__root", F.try_variant_get("__parsed", at, "variant"))
     rows = rows.withColumn("__keys", F.map_keys(members_of(F.col("__root"))))
@@ -72,15 +62,12 @@ def upgrade(
     for n, own in users.items():
         here = F.col("__version").between(own[0], own[-1]) if len(own) == own[-1] - own[0] + 1 else F.col("__version").isin(own)
         good = good & (~here | F.col(f"__good{n}"))
-    problem = (
-        F.when(~right_name, error("TypeMismatch", F.col("__name"), F.col("__version"), cause=F.lit(f"expected {history.name}")))
-        .when(~supported, error("UnsupportedVersion", F.col("__name"), F.col("__version")))
-        .when(~F.coalesce(good, F.lit(False)), error("Decode", F.col("__name"), F.col("__version"), cause=F.lit("the payload breaks the contract of its version")))
-    )
-    rows = rows.withColumn("__error", problem)
+    problem = F.when(~right_name, "TypeMismatch").when(~supported, "UnsupportedVersion").when(~good, "Decode")
+    rows = rows.withColumn("__kind", problem)
 
     source = lambda v, f: F.col(f"__in{typed[f.name, f.shape_at(v)]}")
     columns = {f.name: source(1, f) for f in history.fields_at(1)}
+    failures: list[tuple[int, Column]] = []  # the step and the causes of its failing rows, null for the others
     for v in range(1, history.head):
         before = F.col("__version") <= v
         made, causes, following = {}, [], {}
@@ -96,14 +83,34 @@ def upgrade(
                 continue
             made[f"__at{v + 1}_{f.name}"] = F.when(before, out.value).otherwise(own)
             following[f.name] = F.col(f"__at{v + 1}_{f.name}")
-            causes.append(out.error)
+            if out.error is not None:
+                causes.append(out.error)
         if causes:
-            cause = F.when(before & F.col("__error").isNull(), F.coalesce(*causes))
-            made["__error"] = F.when(cause.isNotNull(), error("Upcast", F.col("__name"), F.col("__version"), v, cause)).otherwise(F.col("__error"))
+            made[f"__fail{v}"] = F.when(before, F.coalesce(*causes))
+            failures.append((v, F.col(f"__fail{v}")))
         rows = rows.withColumns(made) if made else rows
         columns = following
+
     current = F.struct(*(columns[f.name].alias(f.name) for f in history.fields_at(history.head))) if columns else F.struct(F.lit(None).cast("void").alias("_"))
-    return rows.select(*kept, F.col("__version").alias("source_version"), F.when(F.col("__error").isNull(), current).alias("record"), F.col("__error").alias("error"))
+    return _with_error(rows, kept, current, failures, history.name)
+
+
+def _with_error(rows: DataFrame, kept: list[str], current: Column, failures: list[tuple[int, Column]], name: str) -> DataFrame:
+    """The result columns: of the failures of a decoded row, that of the earliest step counts."""
+    kind, step = F.col("__kind"), F.lit(None).cast("bigint")
+    for v, cause in reversed(failures):
+        step = F.when(cause.isNotNull(), F.lit(v)).otherwise(step)
+    told = F.when(kind == "TypeMismatch", F.lit(f"expected {name}")).when(kind == "Decode", F.lit("the payload breaks the contract of its version"))
+    if failures:
+        cause = F.coalesce(*(c for _, c in failures))
+        rows = rows.withColumns({"__cause": F.when(kind.isNull(), cause).otherwise(told), "__step": F.when(kind.isNull(), step)})
+        rows = rows.withColumn("__kind", F.coalesce(kind, F.when(F.col("__cause").isNotNull(), "Upcast")))
+    else:
+        rows = rows.withColumns({"__cause": told, "__step": F.lit(None).cast("bigint")})
+    parts = {"kind": "__kind", "stable_name": "__name", "source_version": "__version", "adjacent_from": "__step", "adjacent_to": F.col("__step") + 1, "cause": "__cause"}
+    found = F.struct(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in parts.items()))
+    failed = F.col("__kind").isNotNull()
+    return rows.select(*kept, F.col("__version").alias("source_version"), F.when(~failed, current).alias("record"), F.when(failed, found).alias("error"))
 
 
 def _key_sets(history: History, version: Column) -> tuple[Column, Column]:
