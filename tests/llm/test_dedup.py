@@ -213,3 +213,28 @@ def test_suffix_groups_order_strings():
     strings = [text[k : k + 50].tobytes() for k in starts[order]]
     assert strings == sorted(strings)
     assert [a == b for a, b in zip(group, group[1:], strict=False)] == [a == b for a, b in zip(strings, strings[1:], strict=False)]
+
+
+@pytest.mark.parametrize("join", ["_join_rivals", "_join_many"])
+def test_rivals_of_one_trigger(join):
+    r = random.Random(8)
+    text, sizes, left = b"", [], []
+    for _ in range(60):
+        before, after = r.choice(["ab" * 17, "xy" * 17, "b" * 34])[: r.randint(0, 34)], r.choice(["cd" * 20, "c" * 40])[: r.randint(34, 40)]
+        before, after = before[-(84 - 50) :], after
+        text += (before + "T" * P.GRAM + after).encode()
+        sizes.append(len(before) + P.GRAM + len(after))
+        left.append(len(before))
+    sizes, left, data = np.array(sizes), np.array(left), np.frombuffer(text, np.uint8)
+    least = np.array([r.randrange(1000) for _ in sizes])
+    counts, begin = sizes - P.WIDTH + 1, np.cumsum(sizes) - sizes
+    out = np.repeat(least, counts)
+    getattr(P, join)(np.arange(len(sizes)), sizes, left, begin, counts, least, data, out)
+    first, strings = {}, []
+    for k, (b, n) in enumerate(zip(begin, counts, strict=True)):
+        for o in range(n):
+            s = (left[k] - o, text[b + o : b + o + P.WIDTH]) if join == "_join_many" else text[b + o : b + o + P.WIDTH]
+            strings.append(s)
+            first[s] = min(first.get(s, 10**9), least[k])
+    usable = [k for k, s in enumerate(strings) if join == "_join_rivals" or 0 <= s[0] <= P.WIDTH - P.GRAM]
+    assert [out[k] for k in usable] == [first[strings[k]] for k in usable]

@@ -68,6 +68,18 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, block: int = 4096) -> np.ndarray:
+    """The bytes of runs of ``data``, one after another, with indices for a block of runs at a time."""
+    out, at = np.empty(int(sizes.sum()), np.uint8), 0
+    for k in range(0, len(starts), block):
+        n = sizes[k : k + block]
+        ends = np.cumsum(n)
+        size = int(ends[-1])
+        out[at : at + size] = data[np.repeat(starts[k : k + block] - (ends - n), n) + np.arange(size)]
+        at += size
+    return out
+
+
 class Phrases:
     """The phrases of rows in ``text``: place and size of each, its trigger's hash and place, its own hash, its row."""
 
@@ -101,8 +113,7 @@ class Phrases:
 
     def bytes_of(self, k: np.ndarray) -> np.ndarray:
         """The bytes of phrases, one after another."""
-        ends = np.cumsum(self.size[k])
-        return self.text[np.repeat(self.start[k] - (ends - self.size[k]), self.size[k]) + np.arange(int(ends[-1]) if len(k) else 0)]
+        return gather(self.text, self.start[k], self.size[k])
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
@@ -230,15 +241,17 @@ def first_documents(sizes: np.ndarray, left: np.ndarray, least: np.ndarray, text
         stop = int(np.searchsorted(ends, (ends[done - 1] if done else 0) + SORT_BYTES))
         stop = min(stop, len(rivals) - 1)
         stop += int(last[stop:].argmax()) + 1
-        _join_rivals(rivals[done:stop], sizes, begin, counts, least, text, out)
+        own = rivals[done:stop]
+        join = _join_many if int(sizes[own].sum()) > 2 * SORT_BYTES else _join_rivals
+        join(own, sizes, left, begin, counts, least, text, out)
         done = stop
     return counts, out, phrase
 
 
-def _join_rivals(rivals: np.ndarray, sizes: np.ndarray, begin: np.ndarray, counts: np.ndarray, least: np.ndarray, text: np.ndarray, out: np.ndarray) -> None:
+def _join_rivals(rivals: np.ndarray, sizes: np.ndarray, left: np.ndarray, begin: np.ndarray, counts: np.ndarray, least: np.ndarray, text: np.ndarray, out: np.ndarray) -> None:
     """Set in ``out`` the smallest document of the strings of ``rivals``, among each other."""
     ends = np.cumsum(sizes[rivals])
-    own = text[np.repeat(begin[rivals] - (ends - sizes[rivals]), sizes[rivals]) + np.arange(int(ends[-1]))]
+    own = gather(text, begin[rivals], sizes[rivals])
     n = counts[rivals]
     place = np.arange(int(n.sum()))
     order, group = suffix_groups(own, np.repeat(ends - sizes[rivals] - (np.cumsum(n) - n), n) + place)
@@ -248,6 +261,27 @@ def _join_rivals(rivals: np.ndarray, sizes: np.ndarray, begin: np.ndarray, count
     out[np.repeat((np.cumsum(counts) - counts)[rivals] - (np.cumsum(n) - n), n) + place] = docs
 
 
+def _join_many(rivals: np.ndarray, sizes: np.ndarray, left: np.ndarray, begin: np.ndarray, counts: np.ndarray, least: np.ndarray, text: np.ndarray, out: np.ndarray) -> None:
+    """The same for the many rivals of one frequent trigger, a place of the trigger at a time.
+
+    Equal strings have their trigger at the same place, so each place sorts one
+    string of each phrase.
+    """
+    base = np.cumsum(counts) - counts
+    for place in range(WIDTH - GRAM + 1):
+        string = left[rivals] - place  # the string that has the trigger there
+        own = (string >= 0) & (string < counts[rivals])
+        k, string = rivals[own], string[own]
+        if not len(k):
+            continue
+        rows = np.ascontiguousarray(text[(begin[k] + string)[:, None] + np.arange(WIDTH)]).view(f"V{WIDTH}")[:, 0]
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        best = np.minimum.reduceat(least[k][order], first)
+        out[(base[k] + string)[order]] = np.repeat(best, np.diff(np.append(first, len(k))))
+
+
 def _write_dictionary(docs: DataFrame, bits: int, folder: str) -> None:
     """Write, for each hash range, the phrases that a larger document has as well, with their first documents."""
     names = ["part", "blob"]
@@ -265,8 +299,7 @@ def _write_dictionary(docs: DataFrame, bits: int, folder: str) -> None:
         parts, blobs = [], []
         for part, a, b in _by_range(trigger[k], bits):
             own = k[a:b]
-            ends = np.cumsum(size[own])
-            raw = text[np.repeat(begin[own] - (ends - size[own]), size[own]) + np.arange(int(ends[-1]))]
+            raw = gather(text, begin[own], size[own])
             parts.append(part)
             blobs.append(pack(b"".join([np.int64(b - a).tobytes(), key[own].tobytes(), least[a:b].tobytes(), most[a:b].tobytes(), left[own].astype(np.uint8).tobytes(), size[own].astype(np.uint8).tobytes(), raw.tobytes()])))
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=names)
@@ -312,8 +345,7 @@ def _write_dictionary(docs: DataFrame, bits: int, folder: str) -> None:
         first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
         least, most = np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
         k = order[first]
-        begin, ends = (np.cumsum(size) - size)[k], np.cumsum(size[k])
-        text = text[np.repeat(begin - (ends - size[k]), size[k]) + np.arange(int(ends[-1]))]
+        text = gather(text, (np.cumsum(size) - size)[k], size[k])
         part = int(frame["part"].iloc[0])
         write_blob(f"{folder}/phrases-{part:06d}", _pack_phrases(key[k], most, *first_documents(size[k], left[k], least, text)))
         return pd.DataFrame({"part": [part], "n": [len(k)]})
