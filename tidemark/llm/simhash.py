@@ -24,6 +24,7 @@ id it reaches, or null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,12 @@ SEED = 42
 #: Fingerprints that one task compares within a bucket.
 BUCKET = 2048
 LEVELS = 3
+#: Documents that tell which shingles are common, expected, and shingles of them that are kept.
+SAMPLE, COMMON = 10_000, 1 << 17
+#: Prefix shingles are compared in rounds, one in so many: the first joins large groups at little cost.
+ROUNDS = (16, 1)
+#: Sets of fewer shingles are compared whatever their wide fingerprints say.
+FEW = 64
 
 
 def spread_table() -> np.ndarray:
@@ -219,24 +226,162 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, text: s
     return prints.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def sketches(docs: DataFrame, words: int, prints: int, wide_words: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fps, wide, size): ``prints`` fingerprints of the set of words, a wide one of the set of shingles."""
+def prefix_size(size: int, similarity: float) -> int:
+    """Of so many elements in one order two sets of that similarity always share one."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def common_shingles(docs: DataFrame, words: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of shingles that many documents of a bounded sample hold, and how many do.
+
+    They only set the order of the prefixes; with any order no pair is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], names=["h"])
+
+    part = SAMPLE * (1 << 30) // max(1, docs.count())
+    rows = docs.select(F.col(text).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(part))
+    counts = rows.mapInArrow(run, "h long").groupBy("h").count().where("count > 3")
+    found = counts.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    hashes, n = found["h"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def sketches(docs: DataFrame, words: int, prints: int, similarity: float, wide_words: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, key, fps, wide, size, prefix) of each row.
+
+    ``key`` names the set of shingles; there are ``prints`` fingerprints of the
+    set of words and a wide one of the set of shingles; ``prefix`` has the
+    shingles that come first, the rare before the common.
+    """
     seeds = mix(np.arange(1, max(prints, wide_words) + 1, dtype=np.uint64))
+    common, often = common_shingles(docs, words, text)
+
+    def first(shingles: np.ndarray) -> np.ndarray:
+        n = prefix_size(len(shingles), similarity)
+        if not len(common):
+            return shingles[:n]
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        return shingles[np.argsort(np.where(common[at] == shingles, often[at], 0), kind="stable")[:n]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = spread_table()
         for batch in batches:
-            fps, wides, sizes = [], [], []
+            keys, fps, wides, sizes, prefixes = [], [], [], [], []
             for t in batch.column(1):
                 single = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set((t.as_py() or "").encode().lower().split())), np.uint64)
                 shingles = np.unique(shingle_hashes(t.as_py(), words))
+                keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                 fps.append(majority(mix(single[:, None] + seeds[:prints]), spread).view(np.int64))
                 wides.append(majority(mix(shingles[:, None] + seeds[:wide_words]), spread).tobytes())
                 sizes.append(len(shingles))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(wides, pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "fps", "wide", "size"])
+                prefixes.append(first(shingles).view(np.int64))
+            long = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(fps, long), pa.array(wides, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, long)], names=["doc_id", "key", "fps", "wide", "size", "prefix"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fps array<long>, wide binary, size int")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, fps array<long>, wide binary, size int, prefix array<long>")
+
+
+def shingle_sets(docs: DataFrame, reps: DataFrame, words: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(rep, shingles): the sorted hashes of the shingles of the documents ``reps`` (rep), 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    rows = docs.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text")).join(small(reps), "rep")
+    return rows.mapInArrow(run, "rep long, shingles binary").where(F.length("shingles") > 0).distinct()
+
+
+def alike(sets: list[bytes], least: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Links of sets of shingle hashes whose Jaccard similarity is ``least`` or more."""
+    sizes = np.array([len(s) // 8 for s in sets])
+    ends = np.cumsum(sizes)
+    values, codes = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+
+    def near(rows: np.ndarray, front: np.ndarray) -> np.ndarray:
+        hit, mark = np.zeros(len(rows), bool), np.zeros(len(values), bool)
+        for f in front:
+            own = codes[ends[f] - sizes[f] : ends[f]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[codes].astype(np.int64), ends - sizes)[rows]
+            mark[own] = False
+            hit |= shared >= least * (sizes[rows] + sizes[f] - shared)
+        return hit
+
+    return near
+
+
+def perhaps(wide: np.ndarray, sizes: np.ndarray, least: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Links that the wide fingerprints cannot rule out: their estimate, whose noise is under 0.03, is not 0.2 below ``least``, or a set is small."""
+    near = similar(wide, sizes, least - 0.2)
+
+    def loose(rows: np.ndarray, front: np.ndarray) -> np.ndarray:
+        a, b = sizes[rows][:, None], sizes[front][None, :]
+        few = (np.minimum(a, b) < FEW) & (np.minimum(a, b) >= least * np.maximum(a, b))
+        return few.any(1) | near(rows, front)
+
+    return loose
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the links (a, b) whose shingle sets have the similarity ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [bool(alike([x.as_py(), y.as_py()], least)(np.array([0]), np.array([1]))[0]) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def prefix_links(nodes: DataFrame, joined: DataFrame, docs: DataFrame, words: int, least: float, every: int, text: str, doc_id: str) -> DataFrame:
+    """(a, b): links across the components ``joined`` (node, component) of nodes that share a shingle of their prefixes.
+
+    One shingle in ``every`` counts.  Groups with the same members are compared once.
+    """
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for members in frame["members"]:
+                members = sorted(members, key=lambda m: m["rep"])
+                root = forest(perhaps(np.array([np.frombuffer(m["wide"], np.uint64) for m in members]), np.array([m["size"] for m in members]), least), len(members))
+                for r, n in zip(*np.unique(root, return_counts=True), strict=True):
+                    if n > 1:
+                        out.append([members[k]["rep"] for k in np.flatnonzero(root == r)])
+            yield pd.DataFrame({"reps": out})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for members in frame["members"]:
+                members = sorted(members, key=lambda m: m["rep"])
+                reps = np.array([m["rep"] for m in members], np.int64)
+                root = forest(alike([m["shingles"] for m in members], least), len(reps))
+                own = root != np.arange(len(reps))
+                yield pd.DataFrame({"a": reps[own], "b": reps[root[own]]})
+
+    labels = small(joined.withColumnRenamed("node", "rep"))
+    tokens = nodes.join(labels, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), F.explode("prefix").alias("token")).where(F.pmod("token", F.lit(every)) == 0)
+    spread = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    met = tokens.join(small(materialize(spread.select("token"), "tokens")), "token")
+
+    def members_of(groups: DataFrame) -> DataFrame:
+        return materialize(groups.distinct().select(F.md5(F.array_join("reps", ",")).alias("of"), F.explode("reps").alias("rep")), "groups")
+
+    placed = members_of(met.groupBy("token").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps"))
+    guessed = placed.join(nodes.where("size > 0").select("rep", "wide", "size"), "rep").groupBy("of").agg(F.collect_list(F.struct("rep", "wide", "size")).alias("members"))
+    placed = members_of(guessed.select("members").mapInPandas(split, "reps array<long>"))
+    sets = materialize(shingle_sets(docs, materialize(placed.select("rep").distinct(), "reps"), words, text, doc_id), "sets")
+    members = placed.join(sets, "rep").groupBy("of").agg(F.collect_list(F.struct("rep", "shingles")).alias("members"))
+    return members.select("members").mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 4, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -245,16 +390,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pr
     A fingerprint of shingles moves by many bits for a few edits, as each edit
     changes ``words`` shingles; so candidates come from ``prints`` independent
     fingerprints of the set of words, each with its covering tables, and the
-    wide fingerprint of the shingles decides.
+    wide fingerprint of the shingles chooses among them.  They join most
+    copies, but reach not all: pairs that are still apart and share a shingle
+    of their prefixes, as all of that similarity do, are compared as well.
+    The Jaccard similarity of the sets of shingle hashes decides every link.
     """
-    rows = materialize(sketches(docs, words, prints, text=text, doc_id=doc_id), "sketches")
-    key = F.struct(F.xxhash64("wide", "size").alias("wide"), F.xxhash64("fps").alias("fps"))  # 128 bits say which sketch it is
-    nodes = rows.where("doc_id IS NOT NULL").groupBy(key.alias("key")).agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fps", "wide", "size")))
+    rows = materialize(sketches(docs, words, prints, similarity, text=text, doc_id=doc_id), "sketches")
+    nodes = rows.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fps", "wide", "size", "prefix")))
     nodes = materialize(nodes, "sketches")
     placed = nodes.select(F.posexplode("fps").alias("print", "fp"), "rep", "wide", "size")
-    joined = materialize(components(links(placed, radius, similarity=similarity)), "components")
+    guess = components(links(placed, radius, similarity=similarity)).where("node <> component").toDF("a", "b")
+    guess = materialize(guess, "components")
+    sets = materialize(shingle_sets(docs, materialize(guess.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "reps"), words, text, doc_id), "sets")
+    found = materialize(confirmed(guess, sets, similarity), "links")
+    joined = materialize(components(found), "components")
+    for every in ROUNDS:
+        found = found.unionAll(materialize(prefix_links(nodes, joined, docs, words, similarity, every, text, doc_id), "links"))
+        joined = materialize(components(found), "components")
     classes = nodes.join(joined, nodes["rep"] == joined["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    return rows.select("doc_id", key.alias("key")).join(classes, "key", "left").select("doc_id", "component_id")
+    return rows.select("doc_id", "key").join(classes, "key", "left").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
