@@ -10,8 +10,12 @@ item's windows meet with consistent slots: each value in a slot of the item
 stands for one value in the document throughout, so a question asked again
 with other numbers or names is caught and a chance mix of values is not.
 
-Defined results: null and empty texts hold nothing; an item with fewer tokens
-than a window is one window by itself; rows with equal ids are judged apart.
+Defined results: null and empty texts hold nothing.  An item with fewer tokens
+than a window is one window by itself, met anywhere in a document of a window
+or more; a shorter document is compared with it whole.  An item without a window of enough literal words has all its windows; a window
+without any literal word, as a row of numbers, is met by its own values only.
+Rows are judged apart, also those with equal ids or none, but
+``drop_contaminated`` leaves rows without an id where they are.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import materialize, without_ids
@@ -88,52 +92,66 @@ class Template:
         self.codes, self.row, self.slot = codes[keep], row[keep], (number | unit | name)[keep]
         self.counts = np.bincount(self.row, minlength=n)
 
-    def windows(self, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first token, tokens, hash) of each window; ``whole``: a shorter row is a window too."""
-        n, at = len(self.codes), np.arange(len(self.codes))
+    def windows(self, lengths: frozenset[int] | None = None, dense: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first token, tokens, hash, literal words) of each window.
+
+        Without ``lengths`` the rows are items: a shorter row is a window, and
+        a row without a window of enough literal words has all.  With them the
+        rows are documents: windows of those lengths are taken too, and all
+        windows if ``dense``.
+        """
+        at = np.arange(len(self.codes))
         end = np.repeat(np.cumsum(self.counts), self.counts)
         literal = np.append(0, np.cumsum(~self.slot))
-        first = at[at + WINDOW <= end]
-        h = np.zeros(len(first), U64)
-        for k in range(WINDOW):
-            h = mix(h * U64(0x9E3779B97F4A7C15) + self.codes[first + k])
-        few = literal[first + WINDOW] - literal[first] < LITERALS if n else np.zeros(0, bool)
-        first, h = first[~few], h[~few]
-        sizes = np.full(len(first), WINDOW)
-        if whole:
-            short = np.flatnonzero((self.counts > 0) & (self.counts < WINDOW))
-            starts = (np.cumsum(self.counts) - self.counts)[short]
-            hs = []
-            for a, m in zip(starts, self.counts[short], strict=True):
-                x = np.zeros(1, U64)
-                for k in range(m):
-                    x = mix(x * U64(0x9E3779B97F4A7C15) + self.codes[a + k : a + k + 1])
-                hs.append(x[0])
-            first, sizes, h = np.append(first, starts), np.append(sizes, self.counts[short]), np.append(h, np.array(hs, U64))
-        return first.astype(int), sizes.astype(int), h
+        h, found = np.zeros(len(at), U64), []
+        for size in range(1, WINDOW + 1):
+            fits = at + size <= end[at]
+            at, h = at[fits], h[fits]
+            h = mix(h * U64(0x9E3779B97F4A7C15) + self.codes[at + size - 1])
+            words = literal[at + size] - literal[at]
+            if size == WINDOW:
+                keep = words >= LITERALS
+                if lengths is None:
+                    keep |= (np.bincount(self.row[at[keep]], minlength=len(self.counts)) == 0)[self.row[at]]
+                elif dense:
+                    keep[:] = True
+            elif lengths is None:
+                keep = self.counts[self.row[at]] == size
+            elif size in lengths:
+                keep = (self.counts[self.row[at]] >= WINDOW) | (self.counts[self.row[at]] == size)
+            else:
+                continue
+            found.append((at[keep], np.full(int(keep.sum()), size), h[keep], words[keep]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def slots(self, first: int, size: int) -> list[str]:
         """The values in the slots of a window."""
         return [self.text[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace") for k in range(first, first + size) if self.slot[k]]
 
 
+def row_key(row_id: str, text: str) -> Column:
+    """What tells rows apart that have equal ids or none."""
+    return F.xxhash64(F.col(row_id).cast("string"), F.col(row_id).isNull(), F.col(text).cast("string"))
+
+
 def benchmark_windows(items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(h, item_id, place, slots, n_windows): every window of every item."""
+    """(h, item, item_id, place, slots, size, literals, n_windows): every window of every item; ``item`` tells items apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             for i, j in slices(offsets):
                 t = Template(data, offsets, i, j)
-                first, sizes, h = t.windows(whole=True)
+                first, sizes, h, literals = t.windows()
                 row = t.row[first] if len(first) else np.zeros(0, int)
                 counts = np.bincount(row, minlength=1)
-                ids = batch.column(0).slice(i, j - i).take(pa.array(row))
+                keys, ids = (batch.column(c).slice(i, j - i).take(pa.array(row)) for c in (0, 1))
                 slots = [t.slots(a, m) for a, m in zip(first, sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(first, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(counts[row], pa.int64())], names=["h", "item_id", "place", "slots", "n_windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), keys, ids, pa.array(first, pa.int64()), pa.array(slots, pa.list_(pa.string())), pa.array(sizes, pa.int32()), pa.array(literals, pa.int32()), pa.array(counts[row], pa.int64())], names=["h", "item", "item_id", "place", "slots", "size", "literals", "n_windows"])
 
     kind = items.schema[item_id].dataType.simpleString()
-    return items.select(F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text")).where("item_id IS NOT NULL").mapInArrow(run, f"h long, item_id {kind}, place long, slots array<string>, n_windows long")
+    rows = items.select(row_key(item_id, text).alias("item"), F.col(item_id).alias("item_id"), F.col(text).cast("string").alias("text")).distinct()
+    return rows.mapInArrow(run, f"h long, item long, item_id {kind}, place long, slots array<string>, size int, literals int, n_windows long")
 
 
 def window_filter(windows: DataFrame) -> np.ndarray:
@@ -157,7 +175,7 @@ def filter_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> U64(64 - FILTER_BITS)).astype(np.int64), (h >> U64(4) & U64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
-def matching_windows(docs: DataFrame, bits: np.ndarray, whole: bool, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def matching_windows(docs: DataFrame, bits: np.ndarray, lengths: frozenset[int], dense: bool, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, h, slots): the windows of each document that pass the filter."""
 
     def passes(h: np.ndarray) -> np.ndarray:
@@ -171,7 +189,7 @@ def matching_windows(docs: DataFrame, bits: np.ndarray, whole: bool, text: str =
             data, offsets = utf8(batch.column(1))
             for i, j in slices(offsets):
                 t = Template(data, offsets, i, j)
-                first, sizes, h = t.windows(whole)
+                first, sizes, h, _ = t.windows(lengths, dense)
                 hit = np.flatnonzero(passes(h))
                 if len(hit):
                     ids = batch.column(0).slice(i, j - i).take(pa.array(t.row[first[hit]]))
@@ -183,35 +201,39 @@ def matching_windows(docs: DataFrame, bits: np.ndarray, whole: bool, text: str =
 
 
 def held_items(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, item_id, matched, n_windows): the items that a document holds."""
+    """(doc_id, item, item_id, matched, n_windows): the items that a document holds."""
     windows = materialize(benchmark_windows(items), "benchmark")
     bits = window_filter(windows)
-    whole = not windows.where("n_windows = 1").isEmpty()
-    hits = materialize(matching_windows(docs.where(F.col(doc_id).isNotNull()), bits, whole, text, doc_id), "windows")
+    kinds = windows.select("size", (F.col("literals") < LITERALS).alias("dense")).distinct().collect()  # 16 at most
+    lengths = frozenset(r["size"] for r in kinds if r["size"] < WINDOW)
+    dense = any(r["dense"] for r in kinds if r["size"] == WINDOW)
+    hits = materialize(matching_windows(docs, bits, lengths, dense, text, doc_id), "windows")
     hits = hits.groupBy("doc_id", "h", F.array_join("slots", "\x1f").alias("values")).agg(F.first("slots").alias("slots"))
     side = windows.withColumnRenamed("slots", "asked")
     if windows.count() <= BROADCAST_WINDOWS:
         side = F.broadcast(side)
     met = hits.join(side, "h").withColumn("pairs", F.arrays_zip("asked", "slots"))
     # within one window a value asked stands for one value in the document
-    met = met.where(F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("asked"))).select("doc_id", "item_id", "place", "n_windows", "pairs")
-    counts = met.groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("matched"), F.first("n_windows").alias("n_windows"))
-    values = met.select("doc_id", "item_id", F.explode("pairs").alias("p")).groupBy("doc_id", "item_id", F.col("p.asked").alias("asked")).agg(F.count_distinct("p.slots").alias("values"))
-    slots = values.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.sum((F.col("values") == 1).cast("int")).alias("consistent"))
-    found = counts.join(slots, ["doc_id", "item_id"], "left").where("n_slots IS NULL OR 2 * consistent >= n_slots")
-    return found.where(F.col("matched") >= F.least(F.lit(MATCHED), F.ceil(F.col("n_windows") / 2))).select("doc_id", "item_id", "matched", "n_windows")
+    met = met.where(F.size(F.array_distinct("pairs")) == F.size(F.array_distinct("asked"))).where("literals > 0 OR asked = slots").select("doc_id", "item", "item_id", "place", "n_windows", "pairs")
+    counts = met.groupBy("doc_id", "item").agg(F.first("item_id").alias("item_id"), F.count_distinct("place").alias("matched"), F.first("n_windows").alias("n_windows"))
+    values = met.select("doc_id", "item", F.explode("pairs").alias("p")).groupBy("doc_id", "item", F.col("p.asked").alias("asked")).agg(F.count_distinct("p.slots").alias("values"))
+    slots = values.groupBy("doc_id", "item").agg(F.count("*").alias("n_slots"), F.sum((F.col("values") == 1).cast("int")).alias("consistent"))
+    found = counts.join(slots, ["doc_id", "item"], "left").where("n_slots IS NULL OR 2 * consistent >= n_slots")
+    return found.where(F.col("matched") >= F.least(F.lit(MATCHED), F.ceil(F.col("n_windows") / 2))).select("doc_id", "item", "item_id", "matched", "n_windows")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, n_windows) for every row of ``docs``."""
-    found = held_items(docs, items, text, doc_id)
-    by_doc = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.sum("matched").alias("n_windows")), "held")
-    rows = docs.select(F.col(doc_id).alias("doc_id")).join(by_doc, "doc_id", "left")
+    found = held_items(docs.withColumn("__row", row_key(doc_id, text)), items, text, "__row")
+    item = F.coalesce(F.col("item_id").cast("string"), F.concat(F.lit("\0"), F.col("item").cast("string")))
+    by_doc = materialize(found.groupBy(F.col("doc_id").alias("__of")).agg(F.count_distinct(item).alias("n_items"), F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.sum("matched").alias("n_windows")), "held")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("__row")).join(by_doc, F.col("__row") == F.col("__of"), "left")
     none = F.lit(0).cast("long")
     return rows.select("doc_id", F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("item_ids", F.array().cast(found.select(F.array("item_id")).dtypes[0][1])).alias("item_ids"), F.coalesce("n_windows", none).alias("n_windows"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    found = materialize(held_items(docs, items, text, doc_id).select("doc_id").distinct(), "held")
-    return without_ids(docs, found, doc_id)
+    rows = docs.withColumn("__row", row_key(doc_id, text))
+    found = materialize(held_items(rows.where(F.col(doc_id).isNotNull()), items, text, "__row").select("doc_id").distinct(), "held")
+    return without_ids(rows, found, "__row").drop("__row")
