@@ -18,6 +18,7 @@ id comes before all others; documents with equal ids stand side by side.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -118,10 +119,40 @@ def borders(text: np.ndarray) -> np.ndarray:
     return found[~after_line | (kind[found - 2] >= _LETTER) & (kind[found - 2] <= _DIGIT)]
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[bytes, ...]:
+    """The texts that the tokenizer of a file takes out whole before it looks for words, long ones first.
+
+    Those that match only as whole words, or take white space along, are not chunks; a file with such tokens is refused.
+    """
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path).get_added_tokens_decoder().values()
+    if any(t.single_word or t.lstrip or t.rstrip for t in found):
+        raise ValueError(f"{path} has added tokens that depend on the text around them")
+    return tuple(sorted((t.content.encode() for t in found if t.content), key=len, reverse=True))
+
+
+def around_added(text: np.ndarray, at: np.ndarray, marks: np.ndarray, added: tuple[bytes, ...]) -> np.ndarray:
+    """``marks`` with a border before and after each added token, and none inside; no token spans two rows."""
+    if not added:
+        return marks
+    raw, pattern = text.tobytes(), re.compile(b"|".join(map(re.escape, added)))
+    if not any(a in raw for a in added):
+        return marks
+    spans = [m.span() for i, j in zip(at[:-1], at[1:], strict=True) for m in pattern.finditer(raw, int(i), int(j))]
+    inside = np.zeros(len(text) + 1, bool)
+    for i, j in spans:
+        inside[i + 1 : j] = True
+    ends = np.array(spans, np.int64).ravel()
+    return np.unique(np.append(marks[~inside[marks]], ends[ends < len(text)]))
+
+
 class TextEncoder:
     """Encodes rows of Arrow strings; the distinct chunks between certain borders once each."""
 
     def __init__(self, path: str):
+        self.added = added_tokens(path)
         self.chunks = ChunkIds(lambda chunks: _encode_chunks(path, chunks))
 
     def rows(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -130,7 +161,7 @@ class TextEncoder:
         for i, j in slices(offsets):
             at = offsets[i : j + 1] - offsets[i]
             text = data[offsets[i] : offsets[j]]
-            cuts, per_row = cut(text, at, borders(text))
+            cuts, per_row = cut(text, at, around_added(text, at, borders(text), self.added))
             ids, counts = self.chunks.lookup(text, cuts)
             total = np.append(0, np.cumsum(counts))
             ends = np.cumsum(per_row)
