@@ -49,3 +49,13 @@ def test_common_shingles_come_last(spark, words):
     found = S.sketches(docs, 5, 4, 0.8).collect()
     seen = [t for x in found for t in x["prefix"]]
     assert len(set(seen)) == len(seen) and all(len(x["prefix"]) == S.prefix_size(x["size"], 0.8) for x in found)
+
+
+def test_prefix_groups_without_a_likely_pair(spark, words):
+    """A batch of groups that the wide fingerprints all rule out has no rows, and that is no error."""
+    r = random.Random(33)
+    passage = " ".join(r.choice(words) for _ in range(8))
+    docs = make(spark, [(k, passage + " " + " ".join(r.choice(words) for _ in range(400)), "en") for k in range(3)])
+    sketches = S.sketches(docs, 5, 4, 0.0).withColumnRenamed("doc_id", "rep")
+    joined = spark.createDataFrame([], "node long, component long")
+    assert S.prefix_links(sketches, joined, docs, 5, 0.8, 1, "text", "doc_id").count() == 0

@@ -238,3 +238,15 @@ def test_decontamination_edges(spark):
     assert len(out) == 3 and [r["contaminated"] for r in out if r["doc_id"] == 1] == [True, True]
     kept = D.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [None]
+
+
+def test_pieces_have_log_scores(words):
+    v = P.load(PIECES)
+    scores = v.scores[[k for k, p in enumerate(v.pieces) if p and k not in set(v.byte_ids.tolist()) and v.scores[k] > P.NEVER]]
+    assert np.exp(scores).sum() == pytest.approx(1) and v.fallback == pytest.approx(scores.min() - 10)
+    assert [v.pieces[k] for k in P.encode_chunks(v, [b" the house"])[0]] == [b" the", b" house"]
+    assert P.log_scores(np.array([-1.5, -2.25])).tolist() == [-1.5, -2.25]  # a unigram file's own
+    chunks = [f" {w}".encode() for w in words[:400]]
+    ids, counts = P.encode_chunks(v, chunks)
+    total = np.add.reduceat(v.scores[ids], np.cumsum(counts) - counts)
+    assert total == pytest.approx([brute_viterbi(v, c) for c in chunks])

@@ -1,7 +1,11 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-The pieces and their log scores come from a public model file, whose path is a
-parameter; nothing is trained.  A space becomes the white-space marker and one
+The pieces come from a public model file, whose path is a parameter; nothing is
+trained.  Scores are log probabilities.  A unigram file has them; a file of
+merges has the rank of each piece instead, the more frequent ones first, and a
+rank r becomes the log of its Zipf-Mandelbrot probability, in proportion to
+1 / (r + ``ZIPF``).  Pieces that the file marks as never to be formed are
+decoded, but not encoded.  A space becomes the white-space marker and one
 marker goes before the text.  The best segmentation is the one with the
 highest sum of scores; a character that no piece covers costs more than any
 piece and falls back to its UTF-8 bytes, as does a marker character that
@@ -13,7 +17,8 @@ length are segmented together, place by place, in arrays.
 
 Defined results: null and empty texts have no ids and decode to the empty
 text; of segmentations with equal scores the one whose last piece is longest
-wins.
+wins.  Ids may be of any type and repeat.  Other columns are carried as they
+are, but for those named like an added column, which are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +38,10 @@ from tidemark.llm.chunks import ChunkIds, cut
 from tidemark.llm.textkit import slices, utf8
 
 MARKER = "▁"
+#: The shift of ranks in the law of Zipf and Mandelbrot.
+ZIPF = 2.7
+#: A score under this one marks a piece that is never formed.
+NEVER = -1e8
 #: Chunks up to this length are segmented in arrays, longer ones one by one.
 TOGETHER = 48
 
@@ -95,6 +104,14 @@ class Vocabulary:
     longest: int
 
 
+def log_scores(scores: np.ndarray) -> np.ndarray:
+    """Log probabilities of pieces from the scores of their file, which has those or, for merges, ranks below zero."""
+    if len(scores) < 2 or (scores != np.floor(scores)).any() or len(np.unique(scores)) < len(scores):
+        return scores
+    p = 1 / (ZIPF - scores)
+    return np.log(p / p.sum())
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Vocabulary:
     """The vocabulary of a SentencePiece model file."""
@@ -112,13 +129,15 @@ def load(path: str) -> Vocabulary:
             pieces.append(b"")
         else:
             pieces.append(piece.replace(MARKER, " ").encode())
-            known[pieces[-1]] = k
+            if scores[-1] > NEVER:
+                known[pieces[-1]] = k
     if (byte_ids < 0).any():
         raise ValueError("byte fallback needs all 256 byte pieces")
     if any(b" " in p.lstrip(b" ") for p in known):
         raise ValueError("a piece has a marker after another character")
-    scores = np.array(scores, np.float64)
-    return Vocabulary(Trie.build(known), scores, byte_ids, pieces, float(scores[list(known.values())].min()) - 10, max(map(len, known)))
+    scores, own = np.array(scores, np.float64), list(known.values())
+    scores[own] = log_scores(scores[own])
+    return Vocabulary(Trie.build(known), scores, byte_ids, pieces, float(scores[own].min()) - 10, max(map(len, known)))
 
 
 def _width(lead: np.ndarray) -> np.ndarray:
