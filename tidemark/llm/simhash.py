@@ -357,7 +357,7 @@ def prefix_links(nodes: DataFrame, joined: DataFrame, docs: DataFrame, words: in
                 for r, n in zip(*np.unique(root, return_counts=True), strict=True):
                     if n > 1:
                         out.append([members[k]["rep"] for k in np.flatnonzero(root == r)])
-            yield pd.DataFrame({"reps": out})
+            yield pd.DataFrame({"reps": pd.Series(out, dtype=object)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
