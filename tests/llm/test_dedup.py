@@ -27,16 +27,15 @@ def brute_exact(rows):
     return out
 
 
-@pytest.mark.parametrize("filter_words", [E.FILTER_WORDS, 1])
-def test_exact_against_brute_force(corpus, filter_words):
+@pytest.mark.parametrize(("filter_words", "part_words"), [(None, E.PART_WORDS), (1, 1), (64, 16)])
+def test_exact_against_brute_force(corpus, filter_words, part_words):
     rows, docs = corpus
-    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in E.exact_dedup(docs, words=filter_words).collect()}
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in E.exact_dedup(docs, words=filter_words, part_words=part_words).collect()}
     assert got == brute_exact(rows)
 
 
 def test_exact_uses_no_python(corpus):
-    rows = E.fingerprints(corpus[1])
-    plan = E.resolve(rows)._jdf.queryExecution().executedPlan().toString()
+    plan = E.resolve(*E.digests(corpus[1]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
@@ -50,6 +49,21 @@ def test_exact_edges(spark):
     assert kept.columns == docs.columns and sorted(r["text"] for r in kept.collect()) == ["a b", "zz"]
 
 
+def test_exact_filter_passes_single_rows(spark, words):
+    """Few rows without a copy are false positives, and none of the copies passes."""
+    docs = make(spark, [(k, f"{words[k % 2000]} {min(k, 3900)}", None) for k in range(4000)])
+    rows, size = E.digests(docs)
+    assert size == E.filter_words(4000) and E.filter_words(10**9) > E.PART_WORDS
+    for part_words in (E.PART_WORDS, size // 4):
+        maybe = {r["doc_id"] for r in E.tested(rows, size, part_words).where("maybe").collect()}
+        assert maybe >= {r["doc_id"] for r in E.exact_dedup(docs).where("group_size > 1").collect()} and len(maybe) < 500
+
+
+def test_exact_ids_of_text(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "x "), (None, "x "), ("c", "y")], "doc_id string, text string")
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in E.exact_dedup(docs).collect()} == {("b", "a", False), ("a", "a", True), (None, "a", False), ("c", "c", True)}
+
+
 def test_drop_exact_copies(corpus):
     rows, docs = corpus
     kept = E.drop_exact_copies(docs)
