@@ -212,6 +212,29 @@ def test_a_text_longer_than_a_piece(spark, words, monkeypatch):
     assert got == brute_passages(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 1, 3])
+def test_passages_of_hot_triggers(spark, words, hot):
+    """A line that stands in many contexts has its strings dealt by themselves; the result is the same."""
+    r = random.Random(12)
+    line = " ".join(r.choice(words) for _ in range(14))
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(k, f"{prose(r.randint(0, 9))} {line} {prose(r.randint(0, 9))}", "en") for k in range(60)]
+    out = P.remove_repeats(make(spark, rows).repartition(5), hot=hot).collect()
+    assert sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in out) == brute_passages(rows)
+
+
+def test_passages_fail_without_their_files(spark, words, monkeypatch, tmp_path):
+    import glob
+    import os
+
+    monkeypatch.setattr(P, "new_path", lambda spark, label: f"file://{tmp_path}/{label}")
+    out = P.remove_repeats(make(spark, [(k, " ".join(words[:60]), "en") for k in range(9)]))
+    assert out.agg({"n_removed": "sum"}).first()[0] > 0
+    os.remove(glob.glob(f"{tmp_path}/passages/phrases-*")[0])
+    with pytest.raises(Exception, match="No such file"):
+        out.collect()
+
+
 def test_passages_edges(spark):
     assert P.remove_repeats(empty(spark)).count() == 0
     docs = make(spark, [(None, "z" * 60, None), (1, "z" * 60, None), (2, None, None)])

@@ -19,7 +19,8 @@ and triples would exceed the disk budget.
 
 Defined results: null and empty texts have the end token alone.  A row with
 null id is scored and never learned from.  Without training rows every token
-has probability one.
+has probability one.  Ids may be of any type and repeat; other columns are left
+out.  A file of the model that is missing when rows are scored is an error.
 """
 
 from __future__ import annotations
@@ -155,6 +156,7 @@ class Model:
     discounts: tuple[float, ...]  # of pairs seen once, twice, more often
     lower: tuple[float, ...]  # of words that follow one word, two, more
     rest: float  # mass that the lower order leaves to the uniform distribution
+    pair_parts: tuple[int, ...] = ()  # the ranges of pairs that have a file
 
     def pair_key(self, before: np.ndarray, number: np.ndarray) -> np.ndarray:
         return before.astype(U64) * U64(self.words + 1) + number.astype(U64)
@@ -251,7 +253,7 @@ def train(texts: DataFrame) -> Model:
             for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                 if b > a:
                     rows.append((p, kind, pack(*(x[a:b] for x in arrays)), 0, 0, 0, 0, 0))
-        rows.append((-1, "total", b"", len(keys), *seen))
+        rows.append((-1, "total", str(part).encode(), len(keys), *seen))
         return pd.DataFrame(rows, columns=["part", "kind", "blob", "pairs", "n1", "n2", "n3", "n4"])
 
     def write_stats(frame: pd.DataFrame) -> pd.DataFrame:
@@ -260,7 +262,7 @@ def train(texts: DataFrame) -> Model:
             totals, begins = frame[frame["kind"] == "total"], frame[frame["kind"] == "begin"]
             begin = np.sum([[int(a[0]) for a in unpack(b, 5)[1:]] for b in begins["blob"]], axis=0).astype(np.int64) if len(begins) else np.zeros(4, np.int64)
             write_blob(f"{folder}/begin", np.append(begin, 0).tobytes())
-            return pd.DataFrame({"part": [part], "n": [totals[["pairs", "n1", "n2", "n3", "n4"]].sum().astype(int).tolist()]})
+            return pd.DataFrame({"part": [part], "n": [totals[["pairs", "n1", "n2", "n3", "n4"]].sum().astype(int).tolist() + sorted(int(x) for x in totals["blob"])]})
         n = offsets[part + 1] - offsets[part]
         stats = np.zeros((5, n), np.int64)
         for kind, blob in zip(frame["kind"], frame["blob"], strict=True):
@@ -278,9 +280,10 @@ def train(texts: DataFrame) -> Model:
     done = pairs.groupBy("part").applyInPandas(write_stats, "part int, n array<long>").collect()  # a row for each range
     totals = next(r["n"] for r in done if r["part"] < 0)
     follow = np.sum([r["n"] for r in done if r["part"] >= 0], axis=0).tolist()
+    totals, pair_parts = totals[:5], totals[5:]
     d, low = discounts(totals[1:]), discounts(follow[1:5])
     rest = sum(x * n for x, n in zip(low, (follow[1], follow[2], follow[5]), strict=True)) / totals[0]
-    return Model(folder, bits, pair_bits, offsets, n_tokens, n_words, totals[0], d, low, rest)
+    return Model(folder, bits, pair_bits, offsets, n_tokens, n_words, totals[0], d, low, rest, tuple(pair_parts))
 
 
 def _with_before(numbers: np.ndarray, counts: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -297,14 +300,14 @@ class Scorer:
         self.model, self.table = model, WordTable(model.folder, model.bits, model.offsets)
         self.begin = np.array(map_blob(f"{model.folder}/begin")).view(np.int64) if model.words else np.zeros(5, np.int64)
         self.pairs: dict[int, tuple] = {}
+        self.there = frozenset(model.pair_parts)
 
     def _pairs(self, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if part not in self.pairs:
-            try:
-                raw = map_blob(f"{self.model.folder}/pairs-{part:06d}")
-            except FileNotFoundError:
+            if part not in self.there:
                 self.pairs[part] = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
                 return self.pairs[part]
+            raw = map_blob(f"{self.model.folder}/pairs-{part:06d}")
             n, large = (int(x) for x in raw[:16].view(np.int64))
             a, b, c = 16 + 8 * n, 16 + 8 * (n + large), 16 + 8 * (n + 2 * large)
             self.pairs[part] = (raw[16:a].view(U64), raw[a:b].view(np.int64), raw[b:c].view(np.int64), raw[c:])

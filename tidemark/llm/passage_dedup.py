@@ -20,10 +20,15 @@ alone; the parse, the phrases of each document, is only read again.
    arrays, memory-mapped from the shared folder.
 
 No step gathers a document's or a passage's occurrences: a passage in a third
-of all documents is one phrase a task.
+of all documents is one phrase a task.  A trigger with over ``HOT`` phrases,
+as a line that stands in many contexts has, would make its range large: the
+strings of its phrases go apart, by ranges of their own hashes, and equal ones
+meet there.
 
 Defined results: null and empty texts have no bytes and nothing removed;
 documents with equal ids do not remove each other's bytes; null ids come last.
+Ids are whole numbers.  Other columns are left out.  A file of the folder that
+is missing when the rows are read is an error.
 """
 
 from __future__ import annotations
@@ -50,6 +55,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = U64((1 << 20) - 1)
 #: Triggers, or bytes of phrases, that a task holds before it emits them.
 HOLD_TRIGGERS, HOLD_BYTES = 1_500_000, 16_000_000
+#: Phrases of a trigger from which on their strings are dealt by themselves.
+HOT = 1 << 15
 #: Bytes of competing phrases whose suffixes are sorted together.
 SORT_BYTES = 1_000_000
 
@@ -109,8 +116,16 @@ class Phrases:
         self.left = place[first] - self.start
         self.trigger = grams[place[first]]
         whole = (prefix[self.start + self.size] - prefix[self.start]) * _inverses[self.start]
+        self.prefix = prefix
         self.key = mix(whole + self.size.astype(U64) * U64(0xD6E8FEB86659FD93) + self.left.astype(U64) * U64(0xA0761D6478BD642F))
 
+    def strings(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase, start, hash) of each string of phrases."""
+        n = self.size[k] - WIDTH + 1
+        each = np.repeat(k, n)
+        start = self.start[each] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return each, start, mix((self.prefix[start + WIDTH] - self.prefix[start]) * _inverses[start] + U64(WIDTH))
+
     def bytes_of(self, k: np.ndarray) -> np.ndarray:
         """The bytes of phrases, one after another."""
         return gather(self.text, self.start[k], self.size[k])
@@ -133,9 +148,9 @@ def _by_range(hashes: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return runs((hashes >> U64(64 - bits)).astype(np.int64))
 
 
-def _short(hashes: np.ndarray) -> bytes:
-    """The upper five bytes of each hash."""
-    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+def _short(hashes: np.ndarray, bits: int) -> bytes:
+    """The five bytes of each hash below the bits of its range."""
+    return np.ascontiguousarray(hashes << U64(bits)).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
 
 def _long(data: bytes) -> np.ndarray:
@@ -144,23 +159,61 @@ def _long(data: bytes) -> np.ndarray:
     return out.view(U64)[:, 0]
 
 
+def _below(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes << U64(bits)) & ~U64((1 << 24) - 1)
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return pc.fill_null(column.cast(pa.int64()), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
 
 
-def _find_triggers(docs: DataFrame, bits: int, folder: str) -> int:
-    """Write, for each hash range, the sorted triggers that more than one document has."""
-
-    def emit(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        triggers, rows = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(triggers, kind="stable")
-        triggers, rows = triggers[order], rows[order]
+class Files:
+    """The files of a folder by name and range; ``parts`` says which there are."""
+
+    def __init__(self, folder: str, bits: int, parts: dict[str, np.ndarray]):
+        self.folder, self.bits, self.parts, self.open = folder, bits, parts, {}
+
+    def get(self, name: str, part: int) -> np.ndarray:
+        """The bytes of a file, mapped; a range that was never written is empty."""
+        if (name, part) not in self.open:
+            there = self.parts[name]
+            at = int(np.searchsorted(there, part))
+            found = at < len(there) and there[at] == part
+            self.open[name, part] = map_blob(f"{self.folder}/{name}-{part:06d}") if found else np.zeros(0, np.uint8)
+        return self.open[name, part]
+
+    def known(self, name: str, hashes: np.ndarray) -> np.ndarray:
+        """Which of the triggers are in the files ``name``."""
+        order = np.argsort(hashes)
+        hit = np.zeros(len(order), bool)
+        for part, a, b in _by_range(hashes[order], self.bits):
+            there = self.get(name, part).view(U64)
+            if len(there):
+                wanted = _below(hashes[order[a:b]], self.bits)
+                hit[order[a:b]] = there[np.minimum(np.searchsorted(there, wanted), len(there) - 1)] == wanted
+        return hit
+
+    @staticmethod
+    def written(rows: list, name: str) -> np.ndarray:
+        return np.sort(np.array([r["part"] for r in rows if r["name"] == name], np.int64))
+
+
+def _find_triggers(docs: DataFrame, bits: int, folder: str, hot: int) -> dict[str, np.ndarray]:
+    """Write, for each hash range, the sorted triggers that more than one document has, and those with many phrases."""
+    names = ["part", "once", "many", "phrases"]
+
+    def emit(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        triggers, rows, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort([keys, triggers])
+        triggers, rows, keys = triggers[order], rows[order], keys[order]
         first = np.flatnonzero(np.append(True, triggers[1:] != triggers[:-1]))
         many = np.minimum.reduceat(rows, first) != np.maximum.reduceat(rows, first)
+        phrases = np.add.reduceat(np.append(True, keys[1:] != keys[:-1]).astype(np.int64), first)
+        phrases = np.minimum(phrases, 65535).astype("<u2")
         triggers = triggers[first]
-        parts = [(k, triggers[a:b], many[a:b]) for k, a, b in _by_range(triggers, bits)]
-        columns = [pa.array([k for k, *_ in parts], pa.int32()), pa.array([_short(t[~m]) for _, t, m in parts], pa.binary()), pa.array([_short(t[m]) for _, t, m in parts], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "once", "many"])
+        parts = [(k, triggers[a:b], many[a:b], phrases[a:b]) for k, a, b in _by_range(triggers, bits)]
+        columns = [pa.array([k for k, *_ in parts], pa.int32()), *(pa.array(c, pa.binary()) for c in ([_short(t[~m], bits) for _, t, m, _ in parts], [_short(t[m], bits) for _, t, m, _ in parts], [p[m].tobytes() for *_, m, p in parts]))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, 0
@@ -169,7 +222,7 @@ def _find_triggers(docs: DataFrame, bits: int, folder: str) -> int:
             for i, text, sizes, _ in pieces(data, offsets):
                 p = Phrases(text, sizes)
                 if len(p.row):
-                    held.append((p.trigger, p.row + i + seen))
+                    held.append((p.trigger, p.row + i + seen, p.key))
                     size += len(p.row)
                 if size > HOLD_TRIGGERS:
                     yield emit(held)
@@ -179,26 +232,26 @@ def _find_triggers(docs: DataFrame, bits: int, folder: str) -> int:
             yield emit(held)
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        once = np.sort(np.concatenate([_long(x) for x in frame["once"]]))
-        again = once[1:][once[1:] == once[:-1]]
+        once, at_once = np.unique(np.concatenate([_long(x) for x in frame["once"]]), return_counts=True)
         # a trigger that one task has in many documents, or that another task has as well
-        many = np.concatenate([_long(x) for x in frame["many"]])
-        found = np.unique(np.concatenate([again, many]))
+        many, back = np.unique(np.concatenate([_long(x) for x in frame["many"]]), return_inverse=True)
+        phrases = np.bincount(back, np.concatenate([np.frombuffer(x, "<u2") for x in frame["phrases"]]), len(many))
+        found = np.union1d(once[at_once > 1], many)
+        total = np.zeros(len(found), np.int64)
+        total[np.searchsorted(found, many)] += phrases.astype(np.int64)
+        again = np.isin(once, found, assume_unique=True)
+        total[np.searchsorted(found, once[again])] += at_once[again]
         part = int(frame["part"].iloc[0])
-        write_blob(f"{folder}/triggers-{part:06d}", found.tobytes())
-        return pd.DataFrame({"part": [part], "n": [len(found)]})
-
-    parts = docs.mapInArrow(run, "part int, once binary, many binary")
-    return parts.groupBy("part").applyInPandas(merge, "part int, n long").agg(F.sum("n")).first()[0] or 0
-
+        names = []
+        for name, own in (("triggers", found), ("hot", found[total > hot])):
+            if len(own):
+                write_blob(f"{folder}/{name}-{part:06d}", own.tobytes())
+                names.append(name)
+        return pd.DataFrame({"part": [part] * len(names), "name": pd.Series(names, dtype=object)})
 
-def _mapped(cache: dict[int, np.ndarray], folder: str, name: str, part: int) -> np.ndarray:
-    if part not in cache:
-        try:
-            cache[part] = map_blob(f"{folder}/{name}-{part:06d}")
-        except FileNotFoundError:
-            cache[part] = np.zeros(0, np.uint8)
-    return cache[part]
+    parts = docs.mapInArrow(run, "part int, once binary, many binary, phrases binary")
+    rows = parts.groupBy("part").applyInPandas(merge, "part int, name string").collect()  # two rows a range
+    return {name: Files.written(rows, name) for name in ("triggers", "hot")}
 
 
 def suffix_groups(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,9 +335,16 @@ def _join_many(rivals: np.ndarray, sizes: np.ndarray, left: np.ndarray, begin: n
         out[(base[k] + string)[order]] = np.repeat(best, np.diff(np.append(first, len(k))))
 
 
-def _write_dictionary(docs: DataFrame, bits: int, folder: str) -> None:
-    """Write, for each hash range, the phrases that a larger document has as well, with their first documents."""
-    names = ["part", "blob"]
+def _write_dictionary(docs: DataFrame, bits: int, folder: str, triggers: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Write, for each hash range, the phrases that a larger document has as well, with their first documents; and likewise the strings of hot triggers."""
+    names = ["name", "part", "blob"]
+
+    def emit_strings(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, least, most = _extremes(h, doc, doc)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        parts = [(k, pack(np.stack([h[a:b].view(np.int64), least[a:b], most[a:b]]).tobytes())) for k, a, b in _by_range(h, bits)]
+        return pa.RecordBatch.from_arrays([pa.array(["strings"] * len(parts)), pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=names)
 
     def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         trigger, key, left, size, doc = (np.concatenate(x) for x in list(zip(*held, strict=True))[:5])
@@ -302,33 +362,47 @@ def _write_dictionary(docs: DataFrame, bits: int, folder: str) -> None:
             raw = gather(text, begin[own], size[own])
             parts.append(part)
             blobs.append(pack(b"".join([np.int64(b - a).tobytes(), key[own].tobytes(), least[a:b].tobytes(), most[a:b].tobytes(), left[own].astype(np.uint8).tobytes(), size[own].astype(np.uint8).tobytes(), raw.tobytes()])))
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(["phrases"] * len(parts)), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, cache = [], 0, {}
+        held, size, strings, n_strings, files = [], 0, [], 0, Files(folder, bits, triggers)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = _ids(batch.column(0))
             for i, text, sizes, _ in pieces(data, offsets):
                 p = Phrases(text, sizes)
-                order = np.argsort(p.trigger)
-                hit = np.zeros(len(order), bool)
-                for part, a, b in _by_range(p.trigger[order], bits):
-                    known = _mapped(cache, folder, "triggers", part).view(U64)
-                    if len(known):
-                        wanted = p.trigger[order[a:b]] & ~U64((1 << 24) - 1)
-                        hit[a:b] = known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
-                k = np.sort(order[hit])
+                hit = files.known("triggers", p.trigger)
+                hot = hit & files.known("hot", p.trigger) if len(triggers["hot"]) else np.zeros(len(hit), bool)
+                k = np.flatnonzero(hit & ~hot)
                 if len(k):
                     held.append((p.trigger[k], p.key[k], p.left[k], p.size[k], ids[p.row[k] + i], p.bytes_of(k)))
                     size += int(p.size[k].sum())
                 if size > HOLD_BYTES:
                     yield from emit(held)
                     held, size = [], 0
+                if hot.any():
+                    each, _, h = p.strings(np.flatnonzero(hot))
+                    strings.append((h, ids[p.row[each] + i]))
+                    n_strings += len(h)
+                if n_strings > HOLD_BYTES // 16:
+                    yield emit_strings(strings)
+                    strings, n_strings = [], 0
         if held:
             yield from emit(held)
+        if strings:
+            yield emit_strings(strings)
+
+    def merge_strings(frame: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor().decompressobj
+        rows = np.concatenate([np.frombuffer(unpack().decompress(x), np.int64).reshape(3, -1) for x in frame["blob"]], axis=1)
+        h, least, most = _extremes(rows[0].view(U64), rows[1], rows[2])
+        use, part = least < most, int(frame["part"].iloc[0])
+        write_blob(f"{folder}/strings-{part:06d}", h[use].tobytes() + least[use].tobytes())
+        return pd.DataFrame({"part": [part], "name": ["strings"]})
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["name"].iloc[0] == "strings":
+            return merge_strings(frame)
         unpack = zstandard.ZstdDecompressor().decompressobj
         columns = [[] for _ in range(6)]
         for blob in frame["blob"]:
@@ -348,10 +422,18 @@ def _write_dictionary(docs: DataFrame, bits: int, folder: str) -> None:
         text = gather(text, (np.cumsum(size) - size)[k], size[k])
         part = int(frame["part"].iloc[0])
         write_blob(f"{folder}/phrases-{part:06d}", _pack_phrases(key[k], most, *first_documents(size[k], left[k], least, text)))
-        return pd.DataFrame({"part": [part], "n": [len(k)]})
+        return pd.DataFrame({"part": [part], "name": ["phrases"]})
+
+    parts = docs.mapInArrow(run, "name string, part int, blob binary")
+    rows = parts.groupBy("name", "part").applyInPandas(merge, "part int, name string").collect()  # a row for each range
+    return {name: Files.written(rows, name) for name in ("phrases", "strings")}
+
 
-    parts = docs.mapInArrow(run, "part int, blob binary")
-    parts.groupBy("part").applyInPandas(merge, "part int, n long").agg(F.sum("n")).first()
+def _extremes(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct keys with their least and most values."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+    return keys[order][first], np.minimum.reduceat(least[order], first), np.maximum.reduceat(most[order], first)
 
 
 def _pack_phrases(key: np.ndarray, most: np.ndarray, counts: np.ndarray, docs: np.ndarray, phrase: np.ndarray) -> bytes:
@@ -375,10 +457,22 @@ def _unpack_phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return data[16:a].view(U64), data[a:b].view(np.int64), data[b:c].view(np.int64), data[c : c + runs]
 
 
-def _removed(p: Phrases, own: np.ndarray, bits: int, lookup) -> np.ndarray:
+def _removed(p: Phrases, own: np.ndarray, bits: int, files: Files, lookup) -> np.ndarray:
     """(row, start, end) of the bytes to remove; ``own`` has the document of each row."""
+    hot = files.known("hot", p.trigger) if len(files.parts["hot"]) else np.zeros(len(p.trigger), bool)
     order = np.lexsort([p.key, p.trigger >> U64(64 - bits)])
+    order = order[~hot[order]]
     found = [np.zeros((0, 3), np.int64)]
+    if hot.any():
+        each, start, h = p.strings(np.flatnonzero(hot))
+        by = np.argsort(h)
+        for part, a, b in _by_range(h[by], bits):
+            keys, least = np.split(files.get("strings", part).view(np.int64), 2)
+            if len(keys):
+                k = by[a:b]
+                where = np.minimum(np.searchsorted(keys.view(U64), h[k]), len(keys) - 1)
+                k = k[(keys.view(U64)[where] == h[k]) & (least[where] < own[p.row[each[k]]])]
+                found.append(np.stack([p.row[each[k]], start[k], start[k] + WIDTH], 1))
     for part, a, b in _by_range(p.trigger[order], bits):
         keys, pointers, docs, places = lookup(part)
         if not len(keys):
@@ -402,24 +496,25 @@ def _removed(p: Phrases, own: np.ndarray, bits: int, lookup) -> np.ndarray:
     return np.concatenate(found)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kept_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kept_text: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; with ``kept_text`` what is left, as binary."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    bits = max(4, min(16, (max(1, rows.count() // ROWS_PER_RANGE)).bit_length()))
+    bits = max(4, min(24, (max(1, rows.count() // ROWS_PER_RANGE)).bit_length()))
     folder = new_path(spark, "passages")
-    if _find_triggers(rows, bits, folder):
-        _write_dictionary(rows, bits, folder)
+    parts = _find_triggers(rows, bits, folder, hot)
+    none = np.zeros(0, np.int64)
+    parts |= _write_dictionary(rows, bits, folder, parts) if len(parts["triggers"]) else {"phrases": none, "strings": none}
     kind = docs.schema[doc_id].dataType.simpleString()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * kept_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[int, np.ndarray] = {}
+        files = Files(folder, bits, parts)
         opened: dict[int, tuple] = {}
 
         def lookup(part: int) -> tuple:
             if part not in opened:
-                opened[part] = _unpack_phrases(_mapped(cache, folder, "phrases", part))
+                opened[part] = _unpack_phrases(files.get("phrases", part))
             return opened[part]
 
         for batch in batches:
@@ -427,7 +522,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             ids, n = _ids(batch.column(0)), len(batch.column(0))
             found = [np.zeros((0, 3), np.int64)]
             for i, piece, sizes, place in pieces(data, offsets):
-                spans = _removed(Phrases(piece, sizes), ids[i : i + len(sizes)], bits, lookup)
+                spans = _removed(Phrases(piece, sizes), ids[i : i + len(sizes)], bits, files, lookup)
                 spans[:, 0] += i
                 spans[:, 1:] += int(offsets[i]) + place  # places in the whole batch
                 found.append(spans)
