@@ -250,3 +250,40 @@ def test_pieces_have_log_scores(words):
     ids, counts = P.encode_chunks(v, chunks)
     total = np.add.reduceat(v.scores[ids], np.cumsum(counts) - counts)
     assert total == pytest.approx([brute_viterbi(v, c) for c in chunks])
+
+
+OLD_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+OLD_ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+]*://[^\s"'<>]+|(?:host|server|endpoint|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})""", re.I | re.A)
+
+
+def test_addresses_and_endpoints_against_plain_patterns():
+    r = random.Random(3)
+    parts = ["a", "b9", "+", "_", ".", "@", "://", " ", "-", "host=", "url: ", "x.yz", "é", "'", "1"]
+    for _ in range(5000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        assert C.addresses(text) == [m.span() for m in OLD_EMAIL.finditer(text)], text
+        assert C.endpoints(text) == [m.span() for m in OLD_ENDPOINT.finditer(text)], text
+
+
+def test_long_texts_are_scanned_in_linear_time():
+    import time
+
+    for part in ("a", "a+", "a.", "key=", "user=", "a@", "://", "host:", "x@y.", "AKIA", "0f", "password = hunter2hunter2 user=bob "):
+        text = part * (1_000_000 // len(part))
+        began = time.time()
+        C.weak_spans(text, C.base_spans(text))
+        assert time.time() - began < 8, part
+
+
+def test_linked_parts_against_brute_force(spark):
+    """Each weak part is reported exactly when its complement is within reach."""
+    r = random.Random(5)
+    parts = ["user=bob7", "pin: 1234", "https://h.example/x", "AKIA" + "B" * 16, "secret=abcdefghijkl", "mail me@x.org", "plain words here"]
+    rows = [(k, " ".join(r.choice(parts) + " " * r.choice((1, 120, 300)) for _ in range(r.randint(1, 9)))) for k in range(150)]
+    got = {x["doc_id"]: x["spans"] for x in C.scan_secrets(make(spark, [(k, t, None) for k, t in rows])).collect()}
+    for k, text in rows:
+        base = C.base_spans(text)
+        spans = base + C.weak_spans(text, base)
+        near = lambda a, kinds: any(s[1] in kinds and s[0] < a[2] + C.REACH and s[2] > a[0] - C.REACH for s in spans)
+        kept = [s for s in spans if s[1] < 3 or (s[1] == 4 and near(s, (1, 3))) or (s[1] == 3 and near(s, (0, 4))) or (s[1] == 5 and near(s, (0, 4)) and near(s, (1, 3)))]
+        assert got[k] == ",".join(f"{C.KINDS[kind]}:{a}:{b}" for a, kind, b in sorted(kept)), text

@@ -10,13 +10,16 @@ many keys, and the join is a semi-join: it says that a partner exists and
 makes no pairs.
 
 Defined results: null text counts as empty; spans count code points, end
-exclusive; every input row gives one row, repeated rows too.
+exclusive; every input row gives one row, repeated rows too.  Ids may be of any
+type; other columns are left out.  A text is scanned in linear time.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,9 +41,12 @@ IDENTIFIER_WORDS = ("user", "login", "account", "client", "app", "access")
 SECRET = re.compile(r"""\b(?:pass|pwd|pw|pin|key|auth|credential|passwd|password|secret|token)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}""", re.I | re.A)
 SECRET_WORDS = ("pass", "pwd", "pw", "pin", "key", "auth", "credential", "secret", "token")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}(?![A-Za-z0-9+/])")
-ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+]*://[^\s"'<>]+|(?:host|server|endpoint|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})""", re.I | re.A)
+HOST = re.compile(r"""\b(?:host|server|endpoint|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,}""", re.I | re.A)
+URL = re.compile(r"""://[^\s"'<>]+""")
+SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+")
 ENDPOINT_WORDS = ("://", "host", "server", "endpoint", "url")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+LOCAL = SCHEME | frozenset("._%-")
 ADDRESS = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?(?![\w.]*\d)")
 
 
@@ -54,21 +60,78 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _back(text: str, at: int, least: int, letters: frozenset[str]) -> int:
+    """The start of the run of ``letters`` that ends at ``at``, not before ``least``."""
+    while at > least and text[at - 1] in letters:
+        at -= 1
+    return at
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """The spans of e-mail addresses, from the left, without overlap, in linear time."""
+    found, end = [], 0
+    for m in DOMAIN.finditer(text):
+        start = _back(text, m.start(), end, LOCAL)
+        if start < m.start():
+            end = m.end()
+            found.append((start, end))
+    return found
+
+
+def _next_url(text: str, at: int) -> tuple[int, int] | None:
+    """The first URL that starts at ``at`` or later."""
+    mark = text.find("://", at)
+    while mark >= 0:
+        start = _back(text, mark, at, SCHEME)
+        border = not start or not (text[start - 1] == "_" or text[start - 1].isascii() and text[start - 1].isalnum())
+        while start < mark and not (text[start].isalpha() and border):  # a scheme begins a word
+            border = text[start] == "+"
+            start += 1
+        if start < mark and (m := URL.match(text, mark)):
+            return start, m.end()
+        mark = text.find("://", mark + 3)
+    return None
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """The spans of URLs and of values of hosts, from the left, without overlap, in linear time."""
+    out, at = [], 0
+    url, value = _next_url(text, 0), HOST.search(text)
+    while url or value:
+        if url and (not value or url[0] <= value.start()):
+            out.append(url)
+        else:
+            out.append(value.span())
+        at = out[-1][1]
+        if url and url[0] < at:
+            url = _next_url(text, at)
+        if value and value.start() < at:
+            value = HOST.search(text, at)
+    return out
+
+
 def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the weak parts that no base span overlaps."""
     found, lower = [], text.lower()
     if ":" in text or "=" in text:
-        for kind, pattern, words in ((3, IDENTIFIER, IDENTIFIER_WORDS), (4, SECRET, SECRET_WORDS), (5, ENDPOINT, ENDPOINT_WORDS)):
+        for kind, pattern, words in ((3, IDENTIFIER, IDENTIFIER_WORDS), (4, SECRET, SECRET_WORDS)):
             if any(w in lower for w in words):
                 found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
+        if any(w in lower for w in ENDPOINT_WORDS):
+            found += [(a, 5, b) for a, b in endpoints(text)]
     if "@" in text:  # accounts are often named by an address
-        found += [(m.start(), 3, m.end()) for m in EMAIL.finditer(text)]
+        found += [(a, 3, b) for a, b in addresses(text)]
     found += [(m.start(), 5, m.end()) for m in ADDRESS.finditer(text)]
     for m in OPAQUE.finditer(text):
         if re.search("[0-9]", m[0]) and re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]):
             found.append((m.start(), 4, m.end()))
-    taken = [(a, b) for a, _, b in base]
-    return sorted({s for s in found if not any(a < s[2] and s[0] < b for a, b in taken)})
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for *_, b in base), max))
+
+    def taken(span: tuple[int, int, int]) -> bool:
+        k = bisect_left(starts, span[2])  # base spans that start before its end
+        return k > 0 and ends[k - 1] > span[0]
+
+    return sorted({s for s in found if not taken(s)})
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
