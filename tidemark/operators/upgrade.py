@@ -110,7 +110,9 @@ def _with_error(rows: DataFrame, kept: list[str], current: Column, failures: lis
     parts = {"kind": "__kind", "stable_name": "__name", "source_version": "__version", "adjacent_from": "__step", "adjacent_to": F.col("__step") + 1, "cause": "__cause"}
     found = F.struct(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in parts.items()))
     failed = F.col("__kind").isNotNull()
-    return rows.select(*kept, F.col("__version").alias("source_version"), F.when(~failed, current).alias("record"), F.when(failed, found).alias("error"))
+    # a generator of one row: filters and join keys of what follows are not pushed below it, where they would repeat the decoding
+    result = F.struct(F.col("__version").alias("source_version"), F.when(~failed, current).alias("record"), F.when(failed, found).alias("error"))
+    return rows.select(*kept, F.inline(F.array(result)))
 
 
 def _key_sets(history: History, version: Column) -> tuple[Column, Column]:
