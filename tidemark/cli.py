@@ -74,8 +74,11 @@ def _check(a: argparse.Namespace) -> int:
         raise L.LedgerError("the baseline is a file of its own")
     baseline = L.load(a.released_baseline) if a.released_baseline else None
     found = L.check(SparkSession.builder.getOrCreate(), saved, histories, baseline)
+    required = os.environ.get("TIDEMARK_REQUIRE_FROZEN")
+    if required not in (None, "1"):
+        raise L.LedgerError("TIDEMARK_REQUIRE_FROZEN is 1 or unset")
     for h in histories:
-        if a.release or os.environ.get("TIDEMARK_REQUIRE_FROZEN") == "1":
+        if a.release or required:
             saved.require_frozen(h)
         elif saved.readiness(h) != L.FROZEN:
             print(f"warning: {h.name}: version {h.head} is a draft", file=sys.stderr)

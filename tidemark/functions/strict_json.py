@@ -131,7 +131,9 @@ def decode(place: Place, shape: Shape) -> tuple[Column, Column]:
         number = place.bind(F.try_variant_get(value, "$", "double"))
         kind = place.bind(kind_of(value))
         ok = (kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT")) & ~F.isnan(number) & (F.abs(number) < float("inf"))
-        out = number.try_cast(shape.spark_type())
+        # the nearest float of the number as it is spelt; within lists and maps by way of the nearest double
+        spelt = k == "f32" and place.text is not None
+        out = place.bind(place.raw(), 1).try_cast("float") if spelt else number.try_cast(shape.spark_type())
         return (ok & (F.abs(out) < float("inf")) if k == "f32" else ok), out
     if k == "bool":
         return kind_of(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean")
@@ -206,6 +208,33 @@ def _enum(place: Place, shape: Shape) -> tuple[Column, Column]:
     return ok.otherwise(F.lit(False)), F.struct(*columns)
 
 
+def has_floats(shape: Shape) -> bool:
+    inner = [*shape.items, *(m.shape for m in shape.members), *(s for *_, s in shape.variants if s is not None)]
+    return shape.kind in FLOATS or any(map(has_floats, inner))
+
+
+def finite(value: Column, shape: Shape) -> Column:
+    """Whether a typed column holds no NaN and no infinity, which JSON cannot say."""
+    k = shape.kind
+    if not has_floats(shape):
+        return F.lit(True)
+    if k in FLOATS:
+        out = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    elif k in ("list", "array", "set"):
+        out = F.forall(value, lambda x: finite(x, shape.item))
+    elif k == "map":
+        out = F.forall(F.map_values(value), lambda x: finite(x, shape.item))
+    elif k == "tuple":
+        out = _all([finite(value[f"_{n + 1}"], s) for n, s in enumerate(shape.items)])
+    elif k == "record":
+        out = _all([finite(value[m.name], m.shape) for m in shape.members])
+    elif k == "enum":
+        out = _all([finite(value[t], s) for t, kind, s in shape.variants if kind != "unit"])
+    else:
+        return finite(value, shape.item)
+    return value.isNull() | out
+
+
 def encode(value: Column, shape: Shape) -> Column:
     """The JSON text of a typed column; null is the JSON null."""
     k = shape.kind

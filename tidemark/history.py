@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column
@@ -139,6 +139,19 @@ class History:
             raise HistoryError("a field is declared twice; a removed name is not used again")
         object.__setattr__(self, "head", max([1, *(b for f in self.fields for b in f.boundaries())]))
 
+    def as_of(self, version: int) -> History:
+        """The history as it stood when ``version`` was its newest one."""
+        if not 1 <= version <= self.head:
+            raise HistoryError(f"{self.name} has no version {version}")
+        fields = []
+        for f in self.fields:
+            if f.added_in <= version:
+                gone = f.removed_in if f.removed_in is not None and f.removed_in <= version else None
+                fields.append(replace(f, shape=f.shape_at(version), updates=tuple(u for u in f.updates if u.at <= version), removed_in=gone))
+        out = History(self.name, tuple(fields))
+        object.__setattr__(out, "head", version)
+        return out
+
     @staticmethod
     def declare(name: str, *fields: Field) -> History:
         return History(name, tuple(fields))

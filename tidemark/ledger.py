@@ -15,14 +15,14 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import SEGMENT, valid_name
 from tidemark.history import History
-from tidemark.shapes import Shape
+from tidemark.shapes import PROFILES, Shape
 
 FACTS = "stable_name string, version long, path string, attribute string, value string"
 FROZEN, DRAFT, RESET_DRAFT = "Frozen", "Draft", "ResetDraft"
@@ -58,9 +58,10 @@ def _unique(pairs: list[tuple[str, object]]) -> dict:
 class Entry:
     shape: Shape
     reset: bool = False
+    metadata: str = "{}"  # an object, as canonical JSON
 
     def to_json(self) -> dict:
-        return {"metadata": {}, "schema": self.shape.to_json()} | ({"reset_draft": True} if self.reset else {})
+        return {"metadata": json.loads(self.metadata), "schema": self.shape.to_json()} | ({"reset_draft": True} if self.reset else {})
 
 
 class Ledger:
@@ -83,9 +84,9 @@ class Ledger:
                 if any(not re.fullmatch("[1-9][0-9]*", v) for v in versions):
                     raise LedgerError(f"{name}: a version is a positive number in digits")
                 for e in versions.values():
-                    if set(e) - {"metadata", "schema", "reset_draft"} or not {"metadata", "schema"} <= set(e) or e["metadata"] != {} or e.get("reset_draft", True) is not True:
+                    if set(e) - {"metadata", "schema", "reset_draft"} or not {"metadata", "schema"} <= set(e) or not isinstance(e["metadata"], dict) or e.get("reset_draft", True) is not True:
                         raise LedgerError(f"{name}: an entry has metadata, schema and at most reset_draft")
-                entries[name] = {int(v): Entry(Shape.from_json(e["schema"]), "reset_draft" in e) for v, e in versions.items()}
+                entries[name] = {int(v): Entry(Shape.from_json(e["schema"]), "reset_draft" in e, canonical_json(e["metadata"])) for v, e in versions.items()}
         except (json.JSONDecodeError, AttributeError, KeyError, TypeError) as problem:
             raise LedgerError(f"not a ledger: {problem}") from problem
         return Ledger(entries)
@@ -161,7 +162,7 @@ class Ledger:
         entry = self.entries[name][version]
         if entry.reset != undo:
             raise LedgerError(f"{name}: version {version} is {'not ' if undo else 'already '}reset")
-        return Ledger(self.entries | {name: self.entries[name] | {version: Entry(entry.shape, not undo)}})
+        return Ledger(self.entries | {name: self.entries[name] | {version: replace(entry, reset=not undo)}})
 
     def imported(self, other: Ledger, histories: Iterable[History]) -> Ledger:
         """``other``, if it keeps all that is here and is what the declarations say."""
@@ -178,12 +179,13 @@ class Ledger:
     # ------------------------------------------------------- DataFrames
 
     def entries_df(self, spark: SparkSession) -> DataFrame:
-        """(stable_name, version, schema, reset_draft), the schema as canonical JSON."""
-        rows = [(n, v, canonical_json(e.shape.to_json()), e.reset) for n, vs in self.entries.items() for v, e in vs.items()]
-        return spark.createDataFrame(rows, "stable_name string, version long, schema string, reset_draft boolean")
+        """(stable_name, version, schema, reset_draft, metadata), the schema and metadata as canonical JSON."""
+        rows = [(n, v, canonical_json(e.shape.to_json()), e.reset, e.metadata) for n, vs in self.entries.items() for v, e in vs.items()]
+        return spark.createDataFrame(rows, "stable_name string, version long, schema string, reset_draft boolean, metadata string")
 
-    def facts_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(n, v, *fact) for n, vs in self.entries.items() for v, e in vs.items() if not e.reset for fact in e.shape.facts()]
+    def facts_df(self, spark: SparkSession, resets: bool = False) -> DataFrame:
+        """A row for each fact of the frozen versions, with ``resets`` of those open for change too."""
+        rows = [(n, v, *fact) for n, vs in self.entries.items() for v, e in vs.items() if resets or not e.reset for fact in e.shape.facts()]
         return spark.createDataFrame(rows, FACTS)
 
 
@@ -208,14 +210,14 @@ def diff(saved: DataFrame, actual: DataFrame) -> DataFrame:
     kind = F.col("attribute")
     missing = F.col("found").isNull()
     code = (
-        F.when(kind == "kind", F.when(F.col("expected").isNotNull() & ~missing, "shape_kind_changed"))
+        F.when(kind == "kind", F.when(F.col("expected").isin(*PROFILES) & F.col("found").isin(*PROFILES), "profile_changed").when(F.col("expected").isNotNull() & ~missing, "shape_kind_changed"))
         .when(kind == "presence", F.when(missing, "field_missing").when(F.col("expected").isNull(), "field_added").otherwise("field_presence_changed"))
         .when(kind == "variant", F.when(missing, "variant_missing").when(F.col("expected").isNull(), "variant_added").otherwise("variant_kind_changed"))
         .when(F.col("expected").isNotNull() & ~missing, F.when(kind == "length", "array_length_changed").when(kind == "membership", "membership_changed").otherwise("tuple_length_changed"))
     )
     found = rows.withColumn("code", code).where("code IS NOT NULL").select("stable_name", "version", "path", "code", "expected", "found")
     # below a field or variant that is gone, new or of another kind nothing more is said
-    top = found.where(F.col("code").isin("field_missing", "field_added", "variant_missing", "variant_added", "shape_kind_changed"))
+    top = found.where(F.col("code").isin("field_missing", "field_added", "variant_missing", "variant_added", "shape_kind_changed", "profile_changed"))
     top = top.select(F.col("stable_name").alias("n"), F.col("version").alias("v"), F.col("path").alias("above"))
     below = (found["stable_name"] == top["n"]) & (found["version"] == top["v"]) & found["path"].startswith(top["above"]) & (F.length("path") > F.length("above"))
     found = found.join(top, below, "left_anti")
@@ -224,6 +226,24 @@ def diff(saved: DataFrame, actual: DataFrame) -> DataFrame:
     return whole.unionByName(found).dropDuplicates()
 
 
+def entry_findings(saved: DataFrame, actual: DataFrame, released: bool) -> DataFrame:
+    """(stable_name, version, path, code, expected, found) of entry rows against each other.
+
+    ``metadata_changed`` where an entry of both has other metadata; with
+    ``released``, ``released_reset`` for a released version that is open for
+    change on either side.
+    """
+    named = saved.select("stable_name", "version", F.col("metadata").alias("expected"), F.col("reset_draft").alias("was"))
+    other = actual.select("stable_name", "version", F.col("metadata").alias("found"), F.col("reset_draft").alias("now"))
+    rows = named.join(other, ["stable_name", "version"], "left").withColumn("path", F.lit("$"))
+    columns = ["stable_name", "version", "path", "code", "expected", "found"]
+    changed = rows.where("expected <> found").withColumn("code", F.lit("metadata_changed")).select(columns)
+    if not released:
+        return changed
+    reset = rows.where("was OR coalesce(now, false)").select("stable_name", "version", "path", F.lit("released_reset").alias("code"), F.lit("false").alias("expected"), F.lit("true").alias("found"))
+    return changed.unionByName(reset)
+
+
 def ordered(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.orderBy("stable_name", "version", "path", "code")
 
@@ -315,8 +335,11 @@ def change(path: str, command: Callable[[Ledger], Ledger]) -> Ledger:
 
 def check(spark: SparkSession, ledger: Ledger, histories: Iterable[History], baseline: Ledger | None = None) -> DataFrame:
     """Diagnostics of the declarations against the ledger, and of a released one if given."""
-    actual = Ledger.observed(histories).facts_df(spark)
-    found = diff(ledger.facts_df(spark), actual).withColumn("released", F.lit(False))
+    observed = Ledger.observed(histories)
+    actual, entries = observed.facts_df(spark), ledger.entries_df(spark)
+    found = diff(ledger.facts_df(spark), actual).unionByName(entry_findings(entries, observed.entries_df(spark), False)).withColumn("released", F.lit(False))
     if baseline is not None:
-        found = found.unionByName(diff(baseline.facts_df(spark), actual).withColumn("released", F.lit(True)))
+        # a reset waives nothing that is released
+        own = diff(baseline.facts_df(spark, True), actual).unionByName(entry_findings(baseline.entries_df(spark), entries, True))
+        found = found.unionByName(own.withColumn("released", F.lit(True)))
     return found

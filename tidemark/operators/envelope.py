@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import LARGEST_VERSION, valid_name
-from tidemark.functions.strict_json import encode, kind_of, members_of, with_parsed
+from tidemark.functions.strict_json import encode, finite, kind_of, members_of, with_parsed
 from tidemark.history import History
 from tidemark.operators.upgrade import upgrade
 
@@ -39,8 +39,16 @@ def from_versioned(df: DataFrame, history: History, envelope: str = "envelope")
     return upgrade(rows, history, "__envelope", "version", "stable_name", kept, "$.payload")
 
 
-def to_versioned(df: DataFrame, history: History, record: str = "record", envelope: str = "envelope") -> DataFrame:
-    """``df`` with the column ``envelope``: current records under the history's own name and head version."""
+def to_versioned(df: DataFrame, history: History, record: str = "record", envelope: str = "envelope", cause: str | None = None) -> DataFrame:
+    """``df`` with the column ``envelope``: current records under the history's own name and head version.
+
+    A record with NaN or an infinity has no JSON: its envelope is null, and
+    the column ``cause``, if one is named, says why.
+    """
+    good = finite(F.col(record), history.current()) if history.fields_at(history.head) else F.lit(True)
     payload = encode(F.col(record), history.current()) if history.fields_at(history.head) else F.lit("{}")
     text = F.concat(F.lit(f'{{"stable_name":"{history.name}","version":{history.head},"payload":'), payload, F.lit("}"))
-    return df.withColumn(envelope, F.when(F.col(record).isNotNull(), text))
+    made = {envelope: F.when(F.col(record).isNotNull() & good, text)}
+    if cause:
+        made[cause] = F.when(F.col(record).isNotNull() & ~good, F.lit("a number is not finite"))
+    return df.withColumns(made)

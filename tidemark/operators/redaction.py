@@ -12,7 +12,7 @@ HIDDEN = "[REDACTED]"
 
 
 def redacted(value: Column, shape: Shape) -> Column:
-    """Texts are hidden and numbers zero; lists, maps and records keep their form."""
+    """Texts are hidden, numbers zero and dates the first of 1970; lists, maps and records keep their form."""
     k = shape.kind
     if k == "option":
         return redacted(value, shape.item)
@@ -32,14 +32,18 @@ def redacted(value: Column, shape: Shape) -> Column:
     elif k == "bytes":
         out = F.lit(b"")
     elif k == "date":
-        out = F.lit(None).cast("date")
+        out = F.lit("1970-01-01").cast("date")
     else:
         out = F.lit(HIDDEN)
     return F.when(value.isNotNull(), out)
 
 
 def redact(df: DataFrame, history: History, record: str = "record") -> DataFrame:
-    """``df`` with the fields of ``record`` that are marked ``redact`` hidden."""
+    """``df`` with the fields of ``record`` that are marked ``redact`` hidden.
+
+    For records of an older version pass ``history.as_of(version)``, which also
+    decodes them.
+    """
     parts = []
     for f in history.fields_at(history.head):
         value = F.col(record)[f.name]

@@ -16,11 +16,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NumericType
 
 from tidemark.functions.strict_json import Binder, Place, decode, has_keys, members_of, with_parsed
 from tidemark.history import History, Previous, converted
 from tidemark.shapes import Shape
 
+
 def upgrade(
     df: DataFrame, history: History, payload: str = "payload", version: str = "version", name: str | None = None, keep: list[str] | None = None, root: str = "$"
 ) -> DataFrame:
@@ -33,7 +35,7 @@ def upgrade(
     kept = df.columns if keep is None else keep
     kept = [c for c in kept if c not in ("record", "source_version", "error")]
     stored_name = F.col(name) if name else F.lit(history.name)
-    stored = F.col(version).try_cast("bigint")
+    stored = whole_version(df, version)
     rows = df.select(*kept, F.col(payload).cast("string").alias("__text"), stored.alias("__version"), stored_name.cast("string").alias("__name"))
     right_name = F.coalesce(F.col("__name") == history.name, F.lit(False))
     supported = F.coalesce(F.col("__version").between(1, history.head), F.lit(False))
@@ -95,6 +97,15 @@ def upgrade(
     return _with_error(rows, kept, current, failures, history.name)
 
 
+def whole_version(df: DataFrame, version: str) -> Column:
+    """The column ``version`` as a whole number; null for any other value, and for texts."""
+    kind = df.select(F.col(version)).schema[0].dataType
+    number = F.col(version).try_cast("bigint")
+    if isinstance(kind, IntegralType):
+        return number
+    return F.when(F.col(version) == number, number) if isinstance(kind, NumericType) else F.lit(None).cast("bigint")
+
+
 def _with_error(rows: DataFrame, kept: list[str], current: Column, failures: list[tuple[int, Column]], name: str) -> DataFrame:
     """The result columns: of the failures of a decoded row, that of the earliest step counts."""
     kind, step = F.col("__kind"), F.lit(None).cast("bigint")

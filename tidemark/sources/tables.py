@@ -1,7 +1,8 @@
 """Tables of envelopes and payloads, in any format that Spark reads.
 
 A table partitioned by ``stable_name`` and ``version`` lets Spark skip files:
-pass the history, and only its name and versions are asked for.
+``read_envelopes`` asks for the history's own name and versions only, and
+``read_payloads`` does so with ``only_own``.
 """
 
 from __future__ import annotations
@@ -18,18 +19,20 @@ def read_envelopes(spark: SparkSession, path: str, history: History, format: str
     rows = spark.read.format(format).options(**options).load(path)
     if format == "text":
         rows = rows.withColumnRenamed("value", column)
+    if {"stable_name", "version"} <= set(rows.columns):  # as write_envelopes has them: other files are not opened
+        rows = rows.where((F.col("stable_name") == history.name) & F.col("version").isin(list(history.retained_versions())))
     return from_versioned(rows, history, column)
 
 
 def read_payloads(spark: SparkSession, path: str, history: History, format: str = "parquet", payload: str = "payload", version: str = "version", name: str | None = None, only_own: bool = False, **options) -> DataFrame:
     """Payloads with their version (and name) in columns of their own, decoded and upgraded.
 
-    ``only_own`` leaves out rows of other names, before anything is parsed;
-    else they are TypeMismatch errors.
+    ``only_own`` leaves out rows of other names and versions, before anything is
+    parsed; else they are TypeMismatch and UnsupportedVersion errors.
     """
     rows = spark.read.format(format).options(**options).load(path)
     if only_own and name:
-        rows = rows.where(F.col(name) == history.name)
+        rows = rows.where((F.col(name) == history.name) & F.col(version).isin(list(history.retained_versions())))
     return upgrade(rows, history, payload, version, name)
 
 
