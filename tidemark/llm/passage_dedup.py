@@ -114,7 +114,7 @@ class Phrases:
         self.start, self.row = starts[first], row[first]
         self.size = starts[last] + WIDTH - self.start
         self.left = place[first] - self.start
-        self.trigger = grams[place[first]]
+        self.trigger = mix(grams[place[first]])  # the least of many hashes are small; mixed again they fill the ranges evenly
         whole = (prefix[self.start + self.size] - prefix[self.start]) * _inverses[self.start]
         self.prefix = prefix
         self.key = mix(whole + self.size.astype(U64) * U64(0xD6E8FEB86659FD93) + self.left.astype(U64) * U64(0xA0761D6478BD642F))
