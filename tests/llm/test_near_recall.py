@@ -58,4 +58,4 @@ def test_prefix_groups_without_a_likely_pair(spark, words):
     docs = make(spark, [(k, passage + " " + " ".join(r.choice(words) for _ in range(400)), "en") for k in range(3)])
     sketches = S.sketches(docs, 5, 4, 0.0).withColumnRenamed("doc_id", "rep")
     joined = spark.createDataFrame([], "node long, component long")
-    assert S.prefix_links(sketches, joined, docs, 5, 0.8, 1, "text", "doc_id").count() == 0
+    assert S.prefix_links(S.shared_tokens(sketches), sketches, joined, docs, 5, 0.8, 1, "text", "doc_id").count() == 0

@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -342,10 +343,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def prefix_links(nodes: DataFrame, joined: DataFrame, docs: DataFrame, words: int, least: float, every: int, text: str, doc_id: str) -> DataFrame:
-    """(a, b): links across the components ``joined`` (node, component) of nodes that share a shingle of their prefixes.
+def prefix_links(tokens: DataFrame, nodes: DataFrame, joined: DataFrame, docs: DataFrame, words: int, least: float, every: int, text: str, doc_id: str) -> DataFrame:
+    """(a, b): links across the components ``joined`` (node, component) of nodes that share one of the ``tokens`` (rep, token).
 
-    One shingle in ``every`` counts.  Groups with the same members are compared once.
+    One token in ``every`` counts.  Groups with the same members are compared once.
     """
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -369,21 +370,58 @@ def prefix_links(nodes: DataFrame, joined: DataFrame, docs: DataFrame, words: in
                 yield pd.DataFrame({"a": reps[own], "b": reps[root[own]]})
 
     labels = small(joined.withColumnRenamed("node", "rep"))
-    tokens = nodes.join(labels, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), F.explode("prefix").alias("token")).where(F.pmod("token", F.lit(every)) == 0)
-    spread = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    met = tokens.join(small(materialize(spread.select("token"), "tokens")), "token")
-
-    def members_of(groups: DataFrame) -> DataFrame:
-        return materialize(groups.distinct().select(F.md5(F.array_join("reps", ",")).alias("of"), F.explode("reps").alias("rep")), "groups")
-
-    placed = members_of(met.groupBy("token").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps"))
+    met = tokens.where(F.pmod("token", F.lit(every)) == 0).join(labels, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
+    met = materialize(met, "tokens")
+    kinds = met.select("token", "component").distinct().groupBy("token").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("component", F.lit(k))).alias(f"h{k}") for k in (1, 2)))
+    kinds = materialize(kinds.where("n > 1").select("token", F.concat_ws(":", "n", "h1", "h2").alias("of")), "tokens")
+    # tokens of the same components make one group of all who hold one of them
+    placed = materialize(met.join(small(kinds), "token").select("of", "rep").distinct(), "groups")
     guessed = placed.join(nodes.where("size > 0").select("rep", "wide", "size"), "rep").groupBy("of").agg(F.collect_list(F.struct("rep", "wide", "size")).alias("members"))
-    placed = members_of(guessed.select("members").mapInPandas(split, "reps array<long>"))
+    likely = guessed.select("members").mapInPandas(split, "reps array<long>").distinct()
+    placed = materialize(likely.select(F.md5(F.array_join("reps", ",")).alias("of"), F.explode("reps").alias("rep")), "groups")
     sets = materialize(shingle_sets(docs, materialize(placed.select("rep").distinct(), "reps"), words, text, doc_id), "sets")
     members = placed.join(sets, "rep").groupBy("of").agg(F.collect_list(F.struct("rep", "shingles")).alias("members"))
     return members.select("members").mapInPandas(run, "a long, b long").distinct()
 
 
+def shared_tokens(nodes: DataFrame) -> DataFrame:
+    """(rep, token): the prefix shingles of ``nodes`` that several of them hold, and a few others.
+
+    Only the hashes are counted by a shuffle.  Those counted more than once
+    make a Bloom filter, and what passes it leaves its task.
+    """
+    counts = nodes.select(F.explode("prefix").alias("token")).groupBy("token").count()
+    again = materialize(counts.where("count > 1").select("token"), "tokens")
+    size = max(20, min(28, (16 * again.count()).bit_length()))
+
+    def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = mix(h)
+        return (h >> np.uint64(64 - size)).astype(np.int64), (h & np.uint64((1 << size) - 1)).astype(np.int64)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << size, bool)
+        for batch in batches:
+            for k in places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
+                bits[k] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+
+    bits = np.zeros(1 << size >> 3, np.uint8)
+    for r in again.coalesce(4).mapInArrow(fill, "bits binary").collect():  # four at most, of 32 MB at most
+        bits |= np.frombuffer(r["bits"], np.uint8)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            tokens = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            hit = np.ones(len(tokens), bool)
+            for k in places(tokens.view(np.uint64)):
+                hit &= (bits[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[hit])), pa.array(tokens[hit])], names=["rep", "token"])
+
+    return nodes.select("rep", "prefix").mapInArrow(keep, "rep long, token long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, prints: int = 4, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, component_id): documents joined by chains of similar sets of word shingles.
 
@@ -396,18 +434,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, pr
     The Jaccard similarity of the sets of shingle hashes decides every link.
     """
     rows = materialize(sketches(docs, words, prints, similarity, text=text, doc_id=doc_id), "sketches")
-    nodes = rows.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("fps", "wide", "size", "prefix")))
-    nodes = materialize(nodes, "sketches")
+    # of rows with one set of shingles one is compared; the others, few, are told from narrow rows
+    reps = materialize(rows.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "reps")
+    several = small(materialize(reps.where("n > 1").select(F.col("key").alias("of"), F.col("rep").alias("least")), "reps"))
+    nodes = rows.where("doc_id IS NOT NULL").join(several, F.col("key") == F.col("of"), "left").where("least IS NULL OR doc_id = least").withColumnRenamed("doc_id", "rep").drop("of", "least")
     placed = nodes.select(F.posexplode("fps").alias("print", "fp"), "rep", "wide", "size")
     guess = components(links(placed, radius, similarity=similarity)).where("node <> component").toDF("a", "b")
     guess = materialize(guess, "components")
     sets = materialize(shingle_sets(docs, materialize(guess.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "reps"), words, text, doc_id), "sets")
     found = materialize(confirmed(guess, sets, similarity), "links")
     joined = materialize(components(found), "components")
+    tokens = materialize(shared_tokens(nodes), "tokens")
     for every in ROUNDS:
-        found = found.unionAll(materialize(prefix_links(nodes, joined, docs, words, similarity, every, text, doc_id), "links"))
+        found = found.unionAll(materialize(prefix_links(tokens, nodes, joined, docs, words, similarity, every, text, doc_id), "links"))
         joined = materialize(components(found), "components")
-    classes = nodes.join(joined, nodes["rep"] == joined["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    classes = reps.join(small(joined), reps["rep"] == joined["node"], "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "key").join(classes, "key", "left").select("doc_id", "component_id")
 
 
