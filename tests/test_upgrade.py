@@ -12,70 +12,70 @@ from tidemark.operators import error_summary, from_versioned, inspect_envelopes,
 from tidemark.operators.quality import fail_on_error
 from tidemark.shapes import BYTES, F32, F64, I64, I128, STRING, U8, U32, U64, U128, array_of, enum, list_of, map_of, option, record, set_of, tuple_of
 
-INVOICE = History.declare(
-    "invoice",
-    Field("legacy", STRING, removed_in=2),
+CRATE = History.declare(
+    "depot.crate",
+    Field("crate_code", STRING, removed_in=2),
     Field(
-        "count",
+        "grams",
         STRING,
         updates=(
-            Update(3, U64, using=lambda p: Fallible(p.count.cast("string"), F.when(p.count == 13, F.lit("13")))),
-            Update(2, U32, using=lambda p: p.count),
+            Update(3, U64, using=lambda p: Fallible(p.grams.cast("string"), F.when(p.grams == 505, F.lit("505")))),
+            Update(2, U32, using=lambda p: p.grams),
         ),
     ),
-    Field("label", STRING, added_in=2, using=lambda p: p.legacy),
-    Field("revision", U32, added_in=2, value=7),
+    Field("code", STRING, added_in=2, using=lambda p: p.crate_code),
+    Field("scale_model", U32, added_in=2, value=3),
 )
 
 CASES = [
-    (1, '{"legacy":"INV-42","count":42}', ("42", "INV-42", 7), None),
-    (1, '{"count":42,"legacy":"INV-42"}', ("42", "INV-42", 7), None),
-    (3, '{"count":"84","label":"INV-84","revision":8}', ("84", "INV-84", 8), None),
-    (3, '{"count":"13","label":"x","revision":1}', ("13", "x", 1), None),
-    (1, '{"legacy":"INV-13","count":13}', None, "Upcast"),
-    (2, '{"label":"INV-13","count":13,"revision":0}', None, "Upcast"),
-    (1, '{"legacy":"INV-42","count":42,"unknown":true}', None, "Decode"),
-    (1, '{"legacy":"INV-42","count":42,"count":43}', None, "Decode"),
-    (1, '{"legacy":"INV-42"}', None, "Decode"),
-    (1, '["INV-42",42]', None, "Decode"),
-    (1, '{"legacy":"INV-42","count":42} trailing', None, "Decode"),
-    (1, '{"legacy":"INV-42","count":42}]', None, "Decode"),
-    (1, '{"legacy":"INV-42","count":42},{"b":2}', None, "Decode"),
-    (1, '{"legacy":"INV-42","count":"42"}', None, "Decode"),
-    (1, '{"legacy":"INV-42","count":42.0}', None, "Decode"),
-    (1, '{"legacy":"INV-42","count":4294967296}', None, "Decode"),
-    (1, '{"legacy":"INV-42","count":-1}', None, "Decode"),
-    (1, '{"legacy":null,"count":1}', None, "Decode"),
+    (1, '{"crate_code":"K42","grams":42}', ("42", "K42", 3), None),
+    (1, '{"grams":42,"crate_code":"K42"}', ("42", "K42", 3), None),
+    (3, '{"grams":"84","code":"K84","scale_model":8}', ("84", "K84", 8), None),
+    (3, '{"grams":"505","code":"x","scale_model":1}', ("505", "x", 1), None),
+    (1, '{"crate_code":"K13","grams":505}', None, "Upcast"),
+    (2, '{"code":"K13","grams":505,"scale_model":0}', None, "Upcast"),
+    (1, '{"crate_code":"K42","grams":42,"unknown":true}', None, "Decode"),
+    (1, '{"crate_code":"K42","grams":42,"grams":43}', None, "Decode"),
+    (1, '{"crate_code":"K42"}', None, "Decode"),
+    (1, '["K42",42]', None, "Decode"),
+    (1, '{"crate_code":"K42","grams":42} trailing', None, "Decode"),
+    (1, '{"crate_code":"K42","grams":42}]', None, "Decode"),
+    (1, '{"crate_code":"K42","grams":42},{"b":2}', None, "Decode"),
+    (1, '{"crate_code":"K42","grams":"42"}', None, "Decode"),
+    (1, '{"crate_code":"K42","grams":42.0}', None, "Decode"),
+    (1, '{"crate_code":"K42","grams":4294967296}', None, "Decode"),
+    (1, '{"crate_code":"K42","grams":-1}', None, "Decode"),
+    (1, '{"crate_code":null,"grams":1}', None, "Decode"),
     (1, "", None, "Decode"),
     (1, None, None, "Decode"),
     (99, "not JSON", None, "UnsupportedVersion"),
     (0, "{}", None, "UnsupportedVersion"),
     (None, "{}", None, "UnsupportedVersion"),
-    (2, '{"count":18446744073709551615,"label":"a","revision":4294967295}', ("18446744073709551615", "a", 4294967295), None),
-    (2, '{"count":18446744073709551616,"label":"a","revision":1}', None, "Decode"),
-    (2, '{"count":18446744073709551615.0,"label":"a","revision":1}', None, "Decode"),
+    (2, '{"grams":18446744073709551615,"code":"a","scale_model":4294967295}', ("18446744073709551615", "a", 4294967295), None),
+    (2, '{"grams":18446744073709551616,"code":"a","scale_model":1}', None, "Decode"),
+    (2, '{"grams":18446744073709551615.0,"code":"a","scale_model":1}', None, "Decode"),
 ]
 
 
 @pytest.fixture(scope="module")
 def upgraded(spark):
     df = spark.createDataFrame([(n, v, p) for n, (v, p, *_) in enumerate(CASES)], "n int, version long, payload string")
-    return upgrade(df, INVOICE).cache()
+    return upgrade(df, CRATE).cache()
 
 
-def test_invoice_cases(upgraded):
+def test_crate_cases(upgraded):
     rows = {r["n"]: r for r in upgraded.collect()}
     for n, (version, payload, expected, kind) in enumerate(CASES):
         got = rows[n]
         assert (tuple(got["record"]) if got["record"] else None) == expected, payload
         assert (got["error"]["kind"] if got["error"] else None) == kind, payload
         if kind == "Upcast":
-            assert (got["error"]["source_version"], got["error"]["adjacent_from"], got["error"]["adjacent_to"], got["error"]["cause"]) == (version, 2, 3, "13")
+            assert (got["error"]["source_version"], got["error"]["adjacent_from"], got["error"]["adjacent_to"], got["error"]["cause"]) == (version, 2, 3, "505")
 
 
 def test_routing(upgraded):
     ok, failed = split_ok_failed(upgraded, ["n"])
-    assert ok.columns == ["n", "count", "label", "revision"]
+    assert ok.columns == ["n", "grams", "code", "scale_model"]
     assert ok.count() + failed.count() == len(CASES)
     counts = {r["kind"]: 0 for r in error_summary(upgraded).collect()}
     for r in error_summary(upgraded).collect():
@@ -90,25 +90,25 @@ def test_fail_mode_raises(upgraded):
 
 def test_plan_has_no_shuffle(spark, upgraded):
     df = spark.createDataFrame([(1, "{}")], "version long, payload string")
-    plan = upgrade(df, INVOICE)._jdf.queryExecution().executedPlan().toString()
+    plan = upgrade(df, CRATE)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
 
 
 def test_envelopes(spark):
-    payload = '{"legacy":"INV-42","count":42}'
-    good = [f'{{"version":1,"payload":{payload},"stable_name":"invoice"}}', f'{{"payload":{payload},"stable_name":"invoice","version":1}}']
-    bad = ["{}", "null", "[]", "x", f'{{"version":1,"payload":{payload}}}', f'{{"version":1,"payload":{payload},"stable_name":"invoice","more":1}}']
-    bad += [f'{{"version":{v},"payload":{payload},"stable_name":"invoice"}}' for v in ("0", "-1", "1.5", '"1"', "null", "true", "4294967296")]
-    bad += [f'{{"version":1,"version":1,"payload":{payload},"stable_name":"invoice"}}', f'{{"version":1,"payload":{payload},"stable_name":"Invoice"}}']
-    other = [f'{{"version":1,"payload":{payload},"stable_name":"receipt"}}', f'{{"version":4,"payload":{payload},"stable_name":"invoice"}}']
+    payload = '{"crate_code":"K42","grams":42}'
+    good = [f'{{"version":1,"payload":{payload},"stable_name":"depot.crate"}}', f'{{"payload":{payload},"stable_name":"depot.crate","version":1}}']
+    bad = ["{}", "null", "[]", "x", f'{{"version":1,"payload":{payload}}}', f'{{"version":1,"payload":{payload},"stable_name":"depot.crate","more":1}}']
+    bad += [f'{{"version":{v},"payload":{payload},"stable_name":"depot.crate"}}' for v in ("0", "-1", "1.5", '"1"', "null", "true", "4294967296")]
+    bad += [f'{{"version":1,"version":1,"payload":{payload},"stable_name":"depot.crate"}}', f'{{"version":1,"payload":{payload},"stable_name":"depot.Crate"}}']
+    other = [f'{{"version":1,"payload":{payload},"stable_name":"depot.pallet"}}', f'{{"version":4,"payload":{payload},"stable_name":"depot.crate"}}']
     df = spark.createDataFrame([(n, e) for n, e in enumerate(good + bad + other)], "n int, envelope string")
-    kinds = [r["kind"] for r in from_versioned(df, INVOICE).orderBy("n").select("error.kind").collect()]
+    kinds = [r["kind"] for r in from_versioned(df, CRATE).orderBy("n").select("error.kind").collect()]
     assert kinds == [None] * len(good) + ["Decode"] * len(bad) + ["TypeMismatch", "UnsupportedVersion"]
     seen = inspect_envelopes(df).orderBy("n").collect()
     assert [r["valid"] for r in seen] == [True] * len(good) + [False] * len(bad) + [True, True]
     assert seen[0]["envelope"] == good[0]
-    back = to_versioned(from_versioned(df.where("n = 0"), INVOICE), INVOICE).first()["envelope"]
-    assert json.loads(back) == {"stable_name": "invoice", "version": 3, "payload": {"count": "42", "label": "INV-42", "revision": 7}}
+    back = to_versioned(from_versioned(df.where("n = 0"), CRATE), CRATE).first()["envelope"]
+    assert json.loads(back) == {"stable_name": "depot.crate", "version": 3, "payload": {"grams": "42", "code": "K42", "scale_model": 3}}
 
 
 def check(spark, shape, texts):
@@ -195,7 +195,7 @@ def test_sixty_four_versions(spark):
 
 def test_clashing_columns_are_replaced_and_empty_tables_work(spark):
     df = spark.createDataFrame([], "version long, payload string, record string, error string, other int")
-    out = upgrade(df, INVOICE)
+    out = upgrade(df, CRATE)
     assert out.count() == 0 and out.columns == ["version", "payload", "other", "source_version", "record", "error"]
 
 

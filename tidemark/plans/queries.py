@@ -18,7 +18,7 @@ from tidemark.functions.names import bad_segment, valid_name
 from tidemark.history import Fallible, Field, History, Update
 from tidemark.operators import error_summary, from_versioned, inspect_envelopes, redact, split_ok_failed, to_versioned, upgrade
 from tidemark.operators.redaction import template
-from tidemark.shapes import BOOL, DATE, DECIMAL, F64, I32, I64, I128, LOCAL_DATETIME, LOCAL_TIME, OFFSET_DATETIME, STRING, U8, U32, U64, U128, UTC_INSTANT, UUID, array_of, enum, list_of, map_of, option, record, set_of, tuple_of
+from tidemark.shapes import BOOL, DATE, DECIMAL, F32, F64, I32, I64, I128, LOCAL_DATETIME, LOCAL_TIME, OFFSET_DATETIME, STRING, U8, U32, U64, U128, UTC_INSTANT, UUID, array_of, enum, list_of, map_of, option, record, set_of, tuple_of
 from tidemark.shared import shared_dir
 from tidemark.streaming import route, upgraded_stream
 
@@ -71,7 +71,7 @@ ORDER = History.declare(
         ),
     ),
     Field("label", STRING, added_in=2, using=lambda p: F.concat(F.lit("status "), p.status)),
-    Field("revision", U32, added_in=2, value=7),
+    Field("layout", U32, added_in=2, value=2),
 )
 
 
@@ -79,8 +79,8 @@ def order_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders stored under version o_orderkey % 3 + 1."""
     rows = table(spark, sf_dir, "orders").withColumns({"version": F.col("o_orderkey") % 3 + 1, "cents": cents("o_totalprice")})
     one = text(status=quoted("o_orderstatus"), cents=quoted("cents"))
-    two = text(cents=number("cents"), label=quoted(F.concat(F.lit("status "), "o_orderstatus")), revision="8")
-    three = text(revision="9", label=quoted(F.concat(F.lit("status "), "o_orderstatus")), cents=number("cents"))
+    two = text(cents=number("cents"), label=quoted(F.concat(F.lit("status "), "o_orderstatus")), layout="3")
+    three = text(layout="4", label=quoted(F.concat(F.lit("status "), "o_orderstatus")), cents=number("cents"))
     return rows.withColumn("payload", F.when(F.col("version") == 1, one).when(F.col("version") == 2, two).otherwise(three))
 
 
@@ -93,14 +93,14 @@ u AS (SELECT *, version < 3 AND c % 97 = 13 AS bad FROM o)
 @query(
     ORDER_SQL
     + """SELECT o_orderkey, version AS source_version, CASE WHEN NOT bad THEN c END AS cents,
-    CASE WHEN NOT bad THEN 'status ' || o_orderstatus END AS label, CASE WHEN NOT bad THEN CAST(6 + version AS BIGINT) END AS revision,
+    CASE WHEN NOT bad THEN 'status ' || o_orderstatus END AS label, CASE WHEN NOT bad THEN CAST(1 + version AS BIGINT) END AS layout,
     CASE WHEN bad THEN 'Upcast' END AS kind, CASE WHEN bad THEN CAST(2 AS BIGINT) END AS adjacent_from,
     CASE WHEN bad THEN 'amount ' || c END AS cause FROM u"""
 )
 def upgrade_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove, rename, convert twice, add a constant; some conversions fail."""
     out = upgrade(order_payloads(spark, sf_dir), ORDER, keep=["o_orderkey"])
-    return out.select("o_orderkey", "source_version", "record.cents", "record.label", "record.revision", F.col("error.kind").alias("kind"), "error.adjacent_from", "error.cause")
+    return out.select("o_orderkey", "source_version", "record.cents", "record.label", "record.layout", F.col("error.kind").alias("kind"), "error.adjacent_from", "error.cause")
 
 
 @query(ORDER_SQL + "SELECT CASE WHEN bad THEN 'Upcast' END AS kind, version AS source_version, CAST(2 AS BIGINT) AS adjacent_from, CAST(3 AS BIGINT) AS adjacent_to, count(*) AS n_rows FROM u WHERE bad GROUP BY 1, 2")
@@ -301,20 +301,20 @@ def envelope_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------- enums and containers
 
 MONEY = enum(Usd=None, Eur=None)
-PAYMENT = History.declare(
-    "shop.payment",
-    Field("reference", STRING),
-    Field("currency_code", STRING, removed_in=2),
+PARCEL = History.declare(
+    "depot.parcel",
+    Field("slip", STRING),
+    Field("carrier", STRING, removed_in=2),
     Field(
         "status",
-        enum(Pending=None, Paid=record(amount=I64, currency=STRING)),
+        enum(Waiting=None, Sent=record(grams=I64, by=STRING)),
         updates=(
             Update(
                 2,
-                enum(Pending=None, Paid=I64),
+                enum(Waiting=None, Sent=I64),
                 using=lambda p: Fallible(
-                    F.struct(p.status["tag"].alias("tag"), F.when(p.status["tag"] == "Paid", F.struct(p.status["Paid"].alias("amount"), F.initcap(p.currency_code).alias("currency"))).alias("Paid")),
-                    F.when((p.status["tag"] == "Paid") & ~p.currency_code.isin("USD", "EUR"), p.currency_code),
+                    F.struct(p.status["tag"].alias("tag"), F.when(p.status["tag"] == "Sent", F.struct(p.status["Sent"].alias("grams"), F.initcap(p.carrier).alias("by"))).alias("Sent")),
+                    F.when((p.status["tag"] == "Sent") & ~p.carrier.isin("POST", "BIKE"), p.carrier),
                 ),
             ),
         ),
@@ -323,18 +323,18 @@ PAYMENT = History.declare(
 
 
 @query(
-    """WITH p AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS c, o_orderstatus = 'O' AS pending, CASE o_orderkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS cur FROM orders)
-    SELECT o_orderkey, CASE WHEN pending THEN 'Pending' WHEN cur <> 'GBP' THEN 'Paid' END AS tag, CASE WHEN NOT pending AND cur <> 'GBP' THEN c END AS amount,
-    CASE WHEN NOT pending AND cur = 'USD' THEN 'Usd' WHEN NOT pending AND cur = 'EUR' THEN 'Eur' END AS currency, CASE WHEN NOT pending AND cur = 'GBP' THEN 'GBP' END AS cause FROM p"""
+    """WITH p AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS c, o_orderstatus = 'O' AS waiting, CASE o_orderkey % 3 WHEN 0 THEN 'POST' WHEN 1 THEN 'BIKE' ELSE 'DRONE' END AS cur FROM orders)
+    SELECT o_orderkey, CASE WHEN waiting THEN 'Waiting' WHEN cur <> 'DRONE' THEN 'Sent' END AS tag, CASE WHEN NOT waiting AND cur <> 'DRONE' THEN c END AS grams,
+    CASE WHEN NOT waiting AND cur = 'POST' THEN 'Post' WHEN NOT waiting AND cur = 'BIKE' THEN 'Bike' END AS by, CASE WHEN NOT waiting AND cur = 'DRONE' THEN 'DRONE' END AS cause FROM p"""
 )
 def enum_status_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An enum of units and payloads, converted with the field beside it."""
     k = F.col("o_orderkey") % 3
-    currency = F.when(k == 0, "USD").when(k == 1, "EUR").otherwise("GBP")
-    status = F.when(F.col("o_orderstatus") == "O", F.lit('"Pending"')).otherwise(text(Paid=number(cents("o_totalprice"))))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(1).alias("version"), text(reference='"r"', currency_code=quoted(currency), status=status).alias("payload"))
-    out = upgrade(rows, PAYMENT, keep=["o_orderkey"])
-    return out.select("o_orderkey", "record.status.tag", "record.status.Paid.amount", "record.status.Paid.currency", "error.cause")
+    by = F.when(k == 0, "POST").when(k == 1, "BIKE").otherwise("DRONE")
+    status = F.when(F.col("o_orderstatus") == "O", F.lit('"Waiting"')).otherwise(text(Sent=number(cents("o_totalprice"))))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(1).alias("version"), text(slip='"r"', carrier=quoted(by), status=status).alias("payload"))
+    out = upgrade(rows, PARCEL, keep=["o_orderkey"])
+    return out.select("o_orderkey", "record.status.tag", "record.status.Sent.grams", "record.status.Sent.by", "error.cause")
 
 
 SHELF = History.declare("shop.shelf", Field("pair", tuple_of(I64, option(STRING))), Field("list", list_of(I32)), Field("fixed", array_of(U8, 2)), Field("names", set_of(STRING)), Field("by_name", map_of(I64)), Field("on", BOOL))
@@ -520,3 +520,67 @@ def ledger_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     saved = L.Ledger.observed([LINE, ORDER])
     edited = History.declare("shop.line", Field("quantity", U32), Field("flag", option(STRING), required=True))
     return L.check(spark, saved, [edited, ORDER]).select("stable_name", "version", "path", "code")
+
+
+# ------------------------------------------------- floats, past versions, findings
+
+READING = History.declare("shop.reading", Field("level", F32))
+
+
+@query("SELECT p_partkey, CAST(CAST(CAST(p_partkey AS VARCHAR) || '.000000059604644775390625000000001' AS FLOAT) AS DOUBLE) AS level FROM part")
+def narrow_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A float is the nearest one to the number as it is spelt, not to the double between."""
+    spelt = F.concat(number("p_partkey"), F.lit(".000000059604644775390625000000001"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit(1).alias("version"), text(level=spelt).alias("payload"))
+    return upgrade(rows, READING, keep=["p_partkey"]).select("p_partkey", F.col("record.level").cast("double").alias("level"))
+
+
+@query("SELECT p_partkey, p_partkey % 3 <> 0 AS written, CASE WHEN p_partkey % 3 = 0 THEN 'a number is not finite' END AS cause FROM part")
+def finite_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record with NaN or an infinity has no envelope, and a cause."""
+    level = F.when(F.col("p_partkey") % 3 > 0, F.col("p_retailprice")).when(F.col("p_partkey") % 2 == 0, float("nan")).otherwise(float("-inf")).cast("float")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.struct(level.alias("level")).alias("record"))
+    return to_versioned(rows, READING, cause="cause").select("p_partkey", F.col("envelope").isNotNull().alias("written"), "cause")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'UnsupportedVersion' END AS kind FROM part")
+def whole_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version that is no whole number is no version."""
+    version = F.lit(1.0) + F.when(F.col("p_partkey") % 2 == 0, 0.5).otherwise(0.0)
+    rows = table(spark, sf_dir, "part").select("p_partkey", version.alias("version"), text(level="1").alias("payload"))
+    return upgrade(rows, READING, keep=["p_partkey"]).select("p_partkey", F.col("error.kind").alias("kind"))
+
+
+BADGE = History.declare(
+    "shop.badge",
+    Field("holder", STRING, redact=True),
+    Field("points", U64, redact=True, updates=(Update(2, STRING, using=lambda p: p.points.try_cast("decimal(20,0)")),)),
+    Field("door", STRING, added_in=2, value="main"),
+)
+
+
+@query(
+    """SELECT c_custkey, CAST(1 AS BIGINT) AS version, '[REDACTED]' AS holder, '[REDACTED]' AS points, CAST(NULL AS VARCHAR) AS door FROM customer
+    UNION ALL SELECT c_custkey, 2, '[REDACTED]', '0', 'side' FROM customer"""
+)
+def redacted_at_each_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every retained version, hidden by the fields as they were then."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", quoted("c_name").alias("holder"), number("c_custkey").alias("points"))
+    one = redact(upgrade(rows.select("c_custkey", F.lit(1).alias("version"), text(holder=F.col("holder"), points=quoted("points")).alias("payload")), BADGE.as_of(1), keep=["c_custkey"]), BADGE.as_of(1))
+    two = redact(upgrade(rows.select("c_custkey", F.lit(2).alias("version"), text(holder=F.col("holder"), points=F.col("points"), door='"side"').alias("payload")), BADGE, keep=["c_custkey"]), BADGE)
+    pick = lambda df, door: df.select("c_custkey", F.col("source_version").alias("version"), "record.holder", F.col("record.points").cast("string").alias("points"), door.alias("door"))
+    return pick(one, F.lit(None).cast("string")).unionByName(pick(two, F.col("record.door")))
+
+
+@query(
+    """SELECT 'n' || n_nationkey AS stable_name, CAST(1 AS BIGINT) AS version, code FROM nation,
+    (VALUES (0, 'released_reset'), (1, 'metadata_changed'), (2, 'profile_changed')) f(k, code) WHERE n_nationkey % 3 = k"""
+)
+def released_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reset of a released version, other metadata, and another profile, found by joins."""
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("stable_name"), F.lit(1).cast("long").alias("version"), (F.col("n_nationkey") % 3).alias("k"))
+    entries = rows.select("stable_name", "version", F.lit("{}").alias("metadata"), F.lit(False).alias("reset_draft"))
+    now = rows.select("stable_name", "version", F.when(F.col("k") == 1, '{"owner":1}').otherwise("{}").alias("metadata"), (F.col("k") == 0).alias("reset_draft"))
+    facts = rows.select("stable_name", "version", F.lit("$").alias("path"), F.lit("kind").alias("attribute"), F.lit("uuid").alias("value"))
+    other = facts.withColumn("value", F.when(F.pmod(F.substring("stable_name", 2, 9).cast("int"), F.lit(3)) == 2, "date").otherwise("uuid"))
+    return L.entry_findings(entries, now, True).unionByName(L.diff(facts, other)).select("stable_name", "version", "code")
