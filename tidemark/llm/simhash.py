@@ -351,23 +351,27 @@ def prefix_links(tokens: DataFrame, nodes: DataFrame, joined: DataFrame, docs: D
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
+            pairs, reps = set(), set()
             for members in frame["members"]:
                 members = sorted(members, key=lambda m: m["rep"])
-                root = forest(perhaps(np.array([np.frombuffer(m["wide"], np.uint64) for m in members]), np.array([m["size"] for m in members]), least), len(members))
-                for r, n in zip(*np.unique(root, return_counts=True), strict=True):
-                    if n > 1:
-                        out.append([members[k]["rep"] for k in np.flatnonzero(root == r)])
-            yield pd.DataFrame({"reps": pd.Series(out, dtype=object)})
+                own = np.array([m["component"] for m in members], np.int64)
+                near = perhaps(np.array([np.frombuffer(m["wide"], np.uint64) for m in members]), np.array([m["size"] for m in members]), least)
+                for f, hit in across(own, near):
+                    pairs.update((min(own[f], c), max(own[f], c)) for c in np.unique(own[hit]))
+                    reps.update((members[k]["rep"], own[k]) for k in (f, *hit))
+            rows = [(0, a, b) for a, b in pairs] + [(1, r, c) for r, c in reps]
+            yield pd.DataFrame(rows, columns=["kind", "a", "b"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            found = []
             for members in frame["members"]:
                 members = sorted(members, key=lambda m: m["rep"])
-                reps = np.array([m["rep"] for m in members], np.int64)
-                root = forest(alike([m["shingles"] for m in members], least), len(reps))
-                own = root != np.arange(len(reps))
-                yield pd.DataFrame({"a": reps[own], "b": reps[root[own]]})
+                own = np.array([m["component"] for m in members], np.int64)
+                for f, hit in across(own, alike([m["shingles"] for m in members], least)):
+                    _, first = np.unique(own[hit], return_index=True)
+                    found += [(members[f]["rep"], members[k]["rep"]) for k in hit[first]]
+            yield pd.DataFrame(found, columns=["a", "b"])
 
     labels = small(joined.withColumnRenamed("node", "rep"))
     met = tokens.where(F.pmod("token", F.lit(every)) == 0).join(labels, "rep", "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
@@ -375,15 +379,27 @@ def prefix_links(tokens: DataFrame, nodes: DataFrame, joined: DataFrame, docs: D
     kinds = met.select("token", "component").distinct().groupBy("token").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("component", F.lit(k))).alias(f"h{k}") for k in (1, 2)))
     kinds = materialize(kinds.where("n > 1").select("token", F.concat_ws(":", "n", "h1", "h2").alias("of")), "tokens")
     # tokens of the same components make one group of all who hold one of them
-    placed = materialize(met.join(small(kinds), "token").select("of", "rep").distinct(), "groups")
-    guessed = placed.join(nodes.where("size > 0").select("rep", "wide", "size"), "rep").groupBy("of").agg(F.collect_list(F.struct("rep", "wide", "size")).alias("members"))
-    likely = guessed.select("members").mapInPandas(split, "reps array<long>").distinct()
-    placed = materialize(likely.select(F.md5(F.array_join("reps", ",")).alias("of"), F.explode("reps").alias("rep")), "groups")
-    sets = materialize(shingle_sets(docs, materialize(placed.select("rep").distinct(), "reps"), words, text, doc_id), "sets")
-    members = placed.join(sets, "rep").groupBy("of").agg(F.collect_list(F.struct("rep", "shingles")).alias("members"))
+    placed = materialize(met.join(small(kinds), "token").select("of", "rep", "component").distinct(), "groups")
+    guessed = placed.join(nodes.where("size > 0").select("rep", "wide", "size"), "rep").groupBy("of").agg(F.collect_list(F.struct("rep", "component", "wide", "size")).alias("members"))
+    likely = materialize(guessed.select("members").mapInPandas(split, "kind int, a long, b long").distinct(), "likely")
+    # components that may be linked make one group, so that the set of a row goes to one place
+    wholes = components(likely.where("kind = 0").select("a", "b")).toDF("component", "of")
+    owners = materialize(likely.where("kind = 1").select(F.col("a").alias("rep"), F.col("b").alias("component")).join(small(materialize(wholes, "groups")), "component"), "groups")
+    sets = shingle_sets(docs, materialize(owners.select("rep").distinct(), "reps"), words, text, doc_id)
+    members = owners.join(sets, "rep").groupBy("of").agg(F.collect_list(F.struct("rep", "component", "shingles")).alias("members"))
     return members.select("members").mapInPandas(run, "a long, b long").distinct()
 
 
+def across(own: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, linked rows of other components) for the rows outside the largest component of ``own``."""
+    names, counts = np.unique(own, return_counts=True)
+    everyone = np.arange(len(own))
+    for f in np.flatnonzero(own != names[counts.argmax()]):
+        hit = np.flatnonzero(near(everyone, np.array([f])) & (own != own[f]))
+        if len(hit):
+            yield int(f), hit
+
+
 def shared_tokens(nodes: DataFrame) -> DataFrame:
     """(rep, token): the prefix shingles of ``nodes`` that several of them hold, and a few others.
 
