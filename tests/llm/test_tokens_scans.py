@@ -107,6 +107,27 @@ def test_token_store_edges(spark):
     assert sum(r["n_tokens"] for r in out) == 6
 
 
+@pytest.mark.parametrize("ranges", [1, 4])
+def test_shards_end_at_documents_and_ids(spark, corpus, tmp_path, monkeypatch, ranges):
+    monkeypatch.setattr(T, "RANGES", ranges)
+    monkeypatch.setattr(T.math, "isqrt", lambda n: 0)  # few ranges with many files each
+    rows = [(k // 7, t) for k, t in enumerate(all_texts(corpus[0]))]  # ids repeat
+    docs = make(spark, [(i, t, None) for i, t in rows]).repartition(3)
+    shards = T.write_shards(docs, BYTES, str(tmp_path), shard_docs=5, shard_tokens=600).collect()
+    assert len({r["range"] for r in shards}) <= ranges < len(shards)
+    assert all(len(r["doc_ids"]) <= 5 and (r["n_tokens"] <= 600 or len(r["doc_ids"]) == 1) for r in shards)
+    first, second = ([sorted(map(tuple, T.store_tokens(d, BYTES, shard_docs=5).collect()))] for d in (docs, docs.repartition(5)))
+    assert first == second  # whatever the order of the rows
+    assert sum(r[2] for r in first[0]) == sum(r["n_tokens"] for r in shards)
+
+
+def test_token_store_ids_of_text(spark):
+    docs = spark.createDataFrame([("b", "x y", 1), (None, "z", 2), ("\u00e9", "w", 3), ("a", None, 4)] * 5, "doc_id string, text string, start long")
+    out = sorted(T.store_tokens(docs, BYTES, shard_docs=3).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [None] * 5 + ["a"] * 5 + ["b"] * 5 + ["\u00e9"] * 5
+    assert [r["start"] for r in out] == np.cumsum([0] + [r["n_tokens"] for r in out][:-1]).tolist()
+
+
 @pytest.mark.parametrize("n,largest", [(0, 1), (1, 0), (7, 3), (3000, 50_000), (700_000, 300), (2000, 70_000)])
 def test_wavelet_matrix(n, largest):
     ids = np.random.default_rng(n).integers(0, largest + 1, n)

@@ -2,7 +2,7 @@
 
 Texts are encoded with a public byte-level tokenizer; the end id closes each
 document.  Documents are written in ascending order of their ids, in shards
-of ``SHARD_DOCS``.  A shard holds its ids as a wavelet matrix: plane k has bit
+of at most ``SHARD_DOCS`` documents and ``SHARD_TOKENS`` ids.  A shard holds its ids as a wavelet matrix: plane k has bit
 k of every id, highest first, in the order that the planes before it have
 sorted the ids to.  Planes are compressed in blocks, beside the number of ones
 before each block, so that token access, counting and occurrence lookup read
@@ -11,13 +11,17 @@ only the blocks they touch.
 File: magic ``TMWM0001``, length of the header, JSON header (numbers, zeros of
 each plane, block sizes and ones), document bounds, then the blocks.
 
-Defined results: null and empty texts have the end id alone.  A null document
-id comes before all others; documents with equal ids stand side by side.
+Defined results: null and empty texts have the end id alone.  Document ids are
+numbers, texts or dates; a null one comes before all others.  Documents with
+equal ids stand side by side, the shorter first and then by their token ids;
+one task streams them to as many files as they need.  A document with more
+ids than a shard takes has a file alone.  Other columns are left out.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import ChunkIds, cut
@@ -35,6 +39,8 @@ from tidemark.llm.textkit import SPACE, slices, utf8
 
 MAGIC = b"TMWM0001"
 SHARD_DOCS = 4096
+SHARD_TOKENS = 1 << 23
+RANGES = 256
 BLOCK = 1 << 15  # bytes of a plane
 END_ID = 2
 _ONES = np.array([k.bit_count() for k in range(256)], np.uint8)
@@ -298,62 +304,88 @@ class TokenShard:
 # --------------------------------------------------------------- Spark jobs
 
 
-def shard_borders(docs: DataFrame, doc_id: str, shard_docs: int) -> np.ndarray:
-    """The ids at which a new shard begins: quantiles, so shards hold like numbers of documents."""
-    rows = docs.select(F.col(doc_id).cast("double").alias("x"))
-    shards = max(1, -(-rows.count() // shard_docs))
-    return np.unique(rows.approxQuantile("x", [k / shards for k in range(1, shards)], 1 / (8 * shards))) if shards > 1 else np.zeros(0)
+def range_borders(docs: DataFrame, doc_id: str, shard_docs: int) -> list:
+    """The ids at which a new range begins; ranges hold like numbers of documents.
 
-
-def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Write ``docs`` to shard files in ``folder``; (shard, uri, n_docs, n_tokens, doc_ids) for each."""
-    limits = shard_borders(docs, doc_id, shard_docs)
+    There is a range for each shard, and beyond ``RANGES`` of them their number
+    grows with the root of the number of shards: a range then has many files.
+    """
+    ids = docs.select(F.col(doc_id).alias("x"))
+    shards = -(-ids.count() // shard_docs)
+    ranges = min(shards, max(RANGES, 16 * math.isqrt(shards)))
+    if ranges < 2:
+        return []
+    placed = ids.repartitionByRange(ranges, "x").withColumn("range", F.spark_partition_id())
+    first = placed.groupBy("range").agg(F.min("x").alias("x")).where("x IS NOT NULL").orderBy("x").collect()  # a row for each range
+    return [r["x"] for r in first[1:]]
+
+
+def range_of(ids: pa.Array, borders: list) -> np.ndarray:
+    """The range of each id; null ids come first."""
+    out = np.zeros(len(ids), np.int64)
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    values = ids.drop_null().to_numpy(zero_copy_only=False)
+    out[known] = np.searchsorted(np.array(borders, values.dtype), values, "right")
+    return out
+
+
+def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, text: str = "text", doc_id: str = "doc_id", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Write ``docs`` to shard files in ``folder``; (range, shard, uri, n_tokens, doc_ids) for each, ``shard`` counting within its range."""
+    borders = range_borders(docs, doc_id, shard_docs)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path)
         for batch in batches:
-            at = batch.column(0).cast(pa.float64()).to_numpy(zero_copy_only=False)
-            shard = np.where(np.isnan(at), 0, np.searchsorted(limits, at, "right"))
+            own = range_of(batch.column(0), borders)
             for i, j, ids, counts in encoder.rows(batch.column(1), end_id):
                 blobs = [r.astype("<u4" if ids.max() >> 16 else "<u2").tobytes() for r in np.split(ids, np.cumsum(counts)[:-1])]
                 wide = pa.array([bool(ids.max() >> 16)] * (j - i))
-                columns = [batch.column(0).slice(i, j - i), pa.array(shard[i:j], pa.int32()), wide, pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "wide", "n", "ids"])
+                columns = [batch.column(0).slice(i, j - i), pa.array(own[i:j], pa.int32()), wide, pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "range", "wide", "n", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         doc_ids: list = []
-        shard = id_type = None
+        own = id_type = None
+        shard = size = 0
 
         def flush() -> pa.RecordBatch:
             bounds = np.append(0, np.cumsum([len(x) for x in held], dtype=np.int64))
-            uri = f"{folder}/shard-{shard:08d}.tmwm"
+            uri = f"{folder}/shard-{own:06d}-{shard:06d}.tmwm"
             write_blob(uri, build(np.concatenate(held), bounds))
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([int(bounds[-1])], pa.int64()), pa.array([doc_ids], pa.list_(id_type))], names=["shard", "uri", "n_tokens", "doc_ids"])
+            columns = [pa.array([own], pa.int32()), pa.array([shard], pa.int32()), pa.array([uri]), pa.array([int(bounds[-1])], pa.int64()), pa.array([doc_ids], pa.list_(id_type))]
+            return pa.RecordBatch.from_arrays(columns, names=["range", "shard", "uri", "n_tokens", "doc_ids"])
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc, s, wide, _, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard is not None and s != shard:
+            for doc, r, wide, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (r != own or len(held) >= shard_docs or size + n > shard_tokens):
                     yield flush()
-                    held, doc_ids = [], []
-                shard = s
+                    held, doc_ids, size, shard = [], [], 0, shard + 1
+                if r != own:
+                    own, shard = r, 0
                 doc_ids.append(doc)
                 held.append(np.frombuffer(blob, "<u4" if wide else "<u2"))
-        if shard is not None:
+                size += n
+        if held:
             yield flush()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    encoded = rows.mapInArrow(encode, f"doc_id {kind}, shard int, wide boolean, n long, ids binary")
-    dealt = encoded.repartitionById(len(limits) + 1, "shard").sortWithinPartitions("shard", "doc_id")
-    return materialize(dealt.mapInArrow(write, f"shard int, uri string, n_tokens long, doc_ids array<{kind}>"), "shards")
+    encoded = rows.mapInArrow(encode, f"doc_id {kind}, range int, wide boolean, n long, ids binary")
+    dealt = encoded.repartitionById(len(borders) + 1, "range").sortWithinPartitions("range", "doc_id", "n", "ids")
+    return materialize(dealt.mapInArrow(write, f"range int, shard int, uri string, n_tokens long, doc_ids array<{kind}>"), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shard files."""
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = shards.withColumn("base", before)  # a row for each file
+
+    def before(n: str, window: WindowSpec) -> Column:
+        return F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    # sums of whole ranges, a narrow row for each, then of the shards within a range
+    ranges = shards.groupBy("range").agg(F.sum("n_tokens").alias("n")).select("range", before("n", Window.orderBy("range")).alias("first"))
+    within = shards.select("range", "uri", "doc_ids", before("n_tokens", Window.partitionBy("range").orderBy("shard")).alias("own"))
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +396,8 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(base + at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = placed.select("uri", "base", "doc_ids").repartition(max(1, min(shards.count(), 200)), "uri")
+    tasks = max(1, shards.select("range").distinct().count())
+    files = within.join(ranges, "range").select("uri", (F.col("first") + F.col("own")).alias("base"), "doc_ids").repartition(tasks, "uri")
     return files.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
