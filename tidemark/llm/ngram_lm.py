@@ -14,8 +14,8 @@ shared folder:
   it once, twice and more often, and for each word how many words it follows.
 
 Workers memory-map the files they touch and look sorted keys up.  The model's
-order is two: the pairs of the synthetic corpus are mostly distinct already,
-and triples would exceed the disk budget.
+order is two: most triples of the corpus are distinct, and their table would be
+half as large again as that of the pairs.
 
 Defined results: null and empty texts have the end token alone.  A row with
 null id is scored and never learned from.  Without training rows every token
