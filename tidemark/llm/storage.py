@@ -27,13 +27,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Ids to take out that are broadcast, under 100 MB of them; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """The written table ``df`` of narrow rows, marked for broadcast if it has ``most`` rows or fewer."""
-    return F.broadcast(df) if df.count() <= most else df
+#: Bytes of a written table that is broadcast; larger ones are joined by a shuffle.  The driver holds it more than once.
+BROADCAST_BYTES = 16 << 20
+#: What the hash table of a broadcast keeps for a row beside its columns.
+ROW_BYTES = 16
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The written table ``df`` of numbers, texts and bytes, marked for broadcast if it has ``most`` bytes or fewer."""
+    texts = [f.name for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    held = F.lit(ROW_BYTES + 8 * len(df.columns))
+    for c in texts:
+        held += F.coalesce(F.octet_length(c), F.lit(0))
+    size = df.agg(F.sum(held.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
