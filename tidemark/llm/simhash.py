@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.storage import materialize, small, without_ids
-from tidemark.llm.textkit import mix
+from tidemark.llm.storage import map_blob, materialize, new_path, small, without_ids, write_blob
+from tidemark.llm.textkit import mix, runs
 
 SEED = 42
 #: Fingerprints that one task compares within a bucket.
@@ -47,6 +47,8 @@ LEVELS = 3
 SAMPLE, COMMON = 10_000, 1 << 17
 #: Prefix shingles are compared in rounds, one in so many: the first joins large groups at little cost.
 ROUNDS = (16, 1)
+#: A block of a filter has 2^this many hashes or fewer, expected.
+FILTER_TOKENS = 20
 #: Sets of fewer shingles are compared whatever their wide fingerprints say.
 FEW = 64
 
@@ -404,35 +406,49 @@ def shared_tokens(nodes: DataFrame) -> DataFrame:
     """(rep, token): the prefix shingles of ``nodes`` that several of them hold, and a few others.
 
     Only the hashes are counted by a shuffle.  Those counted more than once
-    make a Bloom filter, and what passes it leaves its task.
+    make Bloom filters, one for each block of hashes, in files that workers map
+    as they need them, and what passes them leaves its task.  The number of
+    blocks follows the number of hashes.
     """
+    spark = nodes.sparkSession
     counts = nodes.select(F.explode("prefix").alias("token")).groupBy("token").count()
     again = materialize(counts.where("count > 1").select("token"), "tokens")
-    size = max(20, min(28, (16 * again.count()).bit_length()))
+    n = again.count()
+    blocks = 1 << (n >> FILTER_TOKENS).bit_length()
+    bits = max(16, min(FILTER_TOKENS + 4, (16 * n).bit_length()))
+    folder = new_path(spark, "filters")
 
     def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = mix(h)
-        return (h >> np.uint64(64 - size)).astype(np.int64), (h & np.uint64((1 << size) - 1)).astype(np.int64)
+        return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << size, bool)
-        for batch in batches:
-            for k in places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
-                bits[k] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        block, held = int(frame["block"].iloc[0]), np.zeros(1 << bits, bool)
+        for k in places(frame["token"].to_numpy().view(np.uint64)):
+            held[k] = True
+        write_blob(f"{folder}/block-{block:08d}", np.packbits(held, bitorder="little").tobytes())
+        return pd.DataFrame({"block": [block]})
 
-    bits = np.zeros(1 << size >> 3, np.uint8)
-    for r in again.coalesce(4).mapInArrow(fill, "bits binary").collect():  # four at most, of 32 MB at most
-        bits |= np.frombuffer(r["bits"], np.uint8)
+    filled = again.withColumn("block", F.pmod("token", F.lit(blocks))).groupBy("block").applyInPandas(fill, "block long")
+    there = frozenset(r["block"] for r in filled.collect())  # a number for each file
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[int, np.ndarray] = {}
         for batch in batches:
             lists = batch.column(1)
             tokens = lists.flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            hit = np.ones(len(tokens), bool)
-            for k in places(tokens.view(np.uint64)):
-                hit &= (bits[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
+            order = np.argsort(tokens & (blocks - 1), kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            hit = np.zeros(len(tokens), bool)
+            for block, i, j in runs(tokens & (blocks - 1)):
+                if block not in there:
+                    continue
+                if block not in maps:
+                    maps[block] = map_blob(f"{folder}/block-{block:08d}")
+                hit[i:j] = True
+                for k in places(tokens[i:j].view(np.uint64)):
+                    hit[i:j] &= (maps[block][k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[hit])), pa.array(tokens[hit])], names=["rep", "token"])
 
     return nodes.select("rep", "prefix").mapInArrow(keep, "rep long, token long")
