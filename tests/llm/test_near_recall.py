@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from llm_helpers import make
 from tidemark.llm import simhash as S
@@ -59,3 +60,24 @@ def test_prefix_groups_without_a_likely_pair(spark, words):
     sketches = S.sketches(docs, 5, 4, 0.0).withColumnRenamed("doc_id", "rep")
     joined = spark.createDataFrame([], "node long, component long")
     assert S.prefix_links(S.shared_tokens(sketches), sketches, joined, docs, 5, 0.8, 1, "text", "doc_id").count() == 0
+
+
+def test_shingles_of_few_documents_count_too(spark, words):
+    """A passage of three documents leads to no prefix of those that have enough else."""
+    r = random.Random(34)
+    passage = " ".join(r.choice(words) for _ in range(60))
+    docs = make(spark, [(k, passage + " " + " ".join(r.choice(words) for _ in range(60)), "en") for k in range(3)])
+    seen = [t for x in S.sketches(docs, 5, 4, 0.8).collect() for t in x["prefix"]]
+    assert len(set(seen)) == len(seen) > 60
+
+
+def test_counts_come_from_all_documents(spark, words, odd_texts):
+    """Over 10,000 documents: the first shingles of each are those of the fewest documents of all."""
+    r = random.Random(35)
+    lines = [" ".join(r.choice(words) for _ in range(8)) for _ in range(60)]
+    texts = [f"{lines[int(60 * r.random() ** 3)]} {r.choice(lines)} number {k // 2}" for k in range(11_000)] + odd_texts
+    own = [set(S.shingle_hashes(t, 5).tolist()) for t in texts]
+    often = Counter(h for s in own for h in s)
+    for x in S.sketches(make(spark, [(k, t, "en") for k, t in enumerate(texts)]).repartition(3), 5, 4, 0.8).collect():
+        s = sorted(own[x["doc_id"]], key=lambda h: (often[h], h))
+        assert [h % 2**64 for h in x["prefix"]] == s[: S.prefix_size(len(s), 0.8)]

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,10 @@ SEED = 42
 #: Fingerprints that one task compares within a bucket.
 BUCKET = 2048
 LEVELS = 3
-#: Documents that tell which shingles are common, expected, and shingles of them that are kept.
-SAMPLE, COMMON = 10_000, 1 << 17
+#: A block of shingle counts is of about 2^this many bytes of text.
+COUNT_BYTES = 24
+#: Shingles that a task counts or looks up at once, and those of one more document.
+TOGETHER = 1 << 19
 #: Prefix shingles are compared in rounds, one in so many: the first joins large groups at little cost.
 ROUNDS = (16, 1)
 #: A block of a filter has 2^this many hashes or fewer, expected.
@@ -234,24 +237,86 @@ def prefix_size(size: int, similarity: float) -> int:
     return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
 
-def common_shingles(docs: DataFrame, words: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, of shingles that many documents of a bounded sample hold, and how many do.
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers under 2^32, their low bytes first, then the others; the zeros among those pack well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    They only set the order of the prefixes; with any order no pair is lost.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+
+
+@dataclass(frozen=True)
+class Counts:
+    """The number of documents that hold each cell of shingle hashes, those of equal ``bits`` highest bits, in files by block that workers map."""
+
+    folder: str
+    bits: int  # the lowest 32 of them number a cell within its block
+    there: frozenset[int]
+
+    def of(self, shingles: np.ndarray, maps: dict[int, np.ndarray]) -> np.ndarray:
+        """The count of each of the hashes, 1 for what no file has; ``maps`` keeps the files."""
+        cells = shingles >> np.uint64(64 - self.bits)
+        order = np.argsort(cells)
+        cells, out = cells[order], np.ones(len(cells), np.uint32)
+        for block, i, j in runs(cells >> np.uint64(32)):
+            if block not in self.there:
+                continue
+            if block not in maps:
+                maps[block] = map_blob(f"{self.folder}/block-{block:08d}").view("<u4")
+            held, often = np.split(maps[block], 2)
+            if len(held):
+                own = cells[i:j].astype("<u4")
+                at = np.minimum(np.searchsorted(held, own), len(held) - 1)
+                out[order[i:j]] = np.where(held[at] == own, often[at], 1)
+        return out
+
+
+def shingle_counts(docs: DataFrame, words: int, text: str = "text") -> Counts:
+    """How many of all documents hold each shingle, counted by cells of its hash.
+
+    There are 2^32 cells to a block and blocks in proportion to the text, so
+    next to no shingles share a cell.  A task adds up what it holds of a cell
+    before the shuffle, which has the gaps between cells.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(text).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = 32 + max(6, (size >> COUNT_BYTES).bit_length())
+    folder = new_path(spark, "counts")
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells, n = np.unique(np.concatenate(held), return_counts=True)
+        parts, own = runs(cells >> np.uint64(32)), cells.astype(np.uint32)
+        gaps = [_planes(np.diff(own[i:j], prepend=np.uint32(0))) for _, i, j in parts]
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int64()), pa.array(gaps, pa.binary()), pa.array([_planes(n[i:j]) for _, i, j in parts], pa.binary())], names=["block", "gaps", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], names=["h"])
+                held.append(np.unique(shingle_hashes(t.as_py(), words) >> np.uint64(64 - bits)))
+                n += len(held[-1])
+                if n >= TOGETHER:
+                    yield packed(held)
+                    held, n = [], 0
+        if n:
+            yield packed(held)
 
-    part = SAMPLE * (1 << 30) // max(1, docs.count())
-    rows = docs.select(F.col(text).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(part))
-    counts = rows.mapInArrow(run, "h long").groupBy("h").count().where("count > 3")
-    found = counts.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
-    hashes, n = found["h"].to_numpy().view(np.uint64), found["count"].to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        block = int(frame["block"].iloc[0])
+        cells = np.concatenate([np.cumsum(_from_planes(g), dtype=np.uint32) for g in frame["gaps"]])
+        n = np.concatenate([_from_planes(g) for g in frame["n"]])
+        order = np.argsort(cells)
+        cells, n = cells[order], n[order]
+        first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+        cells, n = cells[first], np.add.reduceat(n, first)
+        several = n > 1
+        write_blob(f"{folder}/block-{block:08d}", np.concatenate([cells[several], n[several]]).astype("<u4").tobytes())
+        return pd.DataFrame({"block": [block]})
+
+    filled = rows.mapInArrow(count, "block long, gaps binary, n binary").groupBy("block").applyInPandas(fill, "block long")
+    return Counts(folder, bits, frozenset(r["block"] for r in filled.collect()))  # a number for each file
 
 
 def sketches(docs: DataFrame, words: int, prints: int, similarity: float, wide_words: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -259,32 +324,36 @@ def sketches(docs: DataFrame, words: int, prints: int, similarity: float, wide_w
 
     ``key`` names the set of shingles; there are ``prints`` fingerprints of the
     set of words and a wide one of the set of shingles; ``prefix`` has the
-    shingles that come first, the rare before the common.
+    shingles that come first, those of few documents before those of many.
     """
     seeds = mix(np.arange(1, max(prints, wide_words) + 1, dtype=np.uint64))
-    common, often = common_shingles(docs, words, text)
-
-    def first(shingles: np.ndarray) -> np.ndarray:
-        n = prefix_size(len(shingles), similarity)
-        if not len(common):
-            return shingles[:n]
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        return shingles[np.argsort(np.where(common[at] == shingles, often[at], 0), kind="stable")[:n]]
+    counts = shingle_counts(docs, words, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = spread_table()
+        spread, maps = spread_table(), {}
+        long = pa.list_(pa.int64())
         for batch in batches:
-            keys, fps, wides, sizes, prefixes = [], [], [], [], []
-            for t in batch.column(1):
-                single = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set((t.as_py() or "").encode().lower().split())), np.uint64)
-                shingles = np.unique(shingle_hashes(t.as_py(), words))
-                keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                fps.append(majority(mix(single[:, None] + seeds[:prints]), spread).view(np.int64))
-                wides.append(majority(mix(shingles[:, None] + seeds[:wide_words]), spread).tobytes())
-                sizes.append(len(shingles))
-                prefixes.append(first(shingles).view(np.int64))
-            long = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(fps, long), pa.array(wides, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, long)], names=["doc_id", "key", "fps", "wide", "size", "prefix"])
+            for i, j, sets in together(batch.column(1)):
+                keys, fps, wides, prefixes = [], [], [], []
+                sizes = np.array([len(x) for x in sets])
+                often = np.split(counts.of(np.concatenate(sets), maps), np.cumsum(sizes)[:-1])
+                for t, shingles, n in zip(batch.column(1).slice(i, j - i), sets, often, strict=True):
+                    single = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in set((t.as_py() or "").encode().lower().split())), np.uint64)
+                    keys.append(xxhash.xxh3_128_digest(shingles.tobytes()))
+                    fps.append(majority(mix(single[:, None] + seeds[:prints]), spread).view(np.int64))
+                    wides.append(majority(mix(shingles[:, None] + seeds[:wide_words]), spread).tobytes())
+                    first = np.argsort(n, kind="stable")[: prefix_size(len(shingles), similarity)]
+                    prefixes.append(shingles[first].view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys, pa.binary()), pa.array(fps, long), pa.array(wides, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, long)], names=["doc_id", "key", "fps", "wide", "size", "prefix"])
+
+    def together(texts: pa.Array) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+        sets, i, n = [], 0, 0
+        for j, t in enumerate(texts, 1):
+            sets.append(np.unique(shingle_hashes(t.as_py(), words)))
+            n += len(sets[-1])
+            if n >= TOGETHER or j == len(texts):
+                yield i, j, sets
+                sets, i, n = [], j, 0
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, fps array<long>, wide binary, size int, prefix array<long>")
