@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import materialize, small
+from tidemark.llm.storage import materialize, small, with_text
 
 
 BITS = 16
@@ -176,11 +176,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 def predict(docs: DataFrame, model: Model | None, text: str = "text", kept: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``kept`` of ``docs`` with lang_pred and score."""
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    rows, place = with_text(docs, text, list(kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
-            for t in batch.column(0):
+            for t in batch.column(place):
                 t = t.as_py()
                 if t is None or model is None or not has_letter(t):
                     langs.append(UNDETERMINED)
@@ -193,9 +194,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", kept: tupl
                 p = softmax((total / n + model.bias) / model.temperature)
                 langs.append(model.languages[int(p.argmax())])
                 scores.append(float(p.max()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(F.col(text).cast("string").alias("__text"), *kept).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def remainder(doc_id: Column, n: int) -> Column:

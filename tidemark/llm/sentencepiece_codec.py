@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.chunks import ChunkIds, cut
+from tidemark.llm.storage import with_text
 from tidemark.llm.textkit import slices, utf8
 
 MARKER = "▁"
@@ -294,15 +295,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     """``docs`` with the column ``ids``; one of that name is replaced."""
     kept = [c for c in docs.columns if c != ids]
     schema = docs.select(kept).schema.add(ids, T.ArrayType(T.IntegerType()))
+    rows, place = with_text(docs, text, kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            for i, j, out, counts in encoder.rows(batch.column(0)):
+            for i, j, out, counts in encoder.rows(batch.column(place)):
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(out, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[: len(kept)]), lists], names=schema.names)
 
-    return docs.select(F.col(text).cast("string").alias("__text"), *kept).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -324,17 +326,18 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFra
     """``docs`` with ``ids``, ``n_tokens`` and ``decoded``, in one pass; columns of those names are replaced."""
     kept = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")]
     schema = docs.select(kept).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", "long").add("decoded", "string")
+    rows, place = with_text(docs, text, kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(path), Decoder(path)
         for batch in batches:
-            for i, j, out, counts in encoder.rows(batch.column(0)):
+            for i, j, out, counts in encoder.rows(batch.column(place)):
                 ends = np.cumsum(counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out, pa.int32()))
                 texts = pa.array([decoder.decode(r) for r in np.split(out, ends[:-1])], pa.string())
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), lists, pa.array(counts, pa.int64()), texts], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[: len(kept)]), lists, pa.array(counts, pa.int64()), texts], names=schema.names)
 
-    return docs.select(F.col(text).cast("string").alias("__text"), *kept).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
