@@ -1,3 +1,5 @@
+import corpus_pipeline
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -35,3 +37,28 @@ def test_a_text_of_another_type_or_name_is_still_read(spark):
     assert (row["doc_id"], row["text"], row["decoded"]) == (12, "a", "12")
     row = C.encode_and_decode(docs.select("doc_id", F.col("text").alias("decoded")), path, text="decoded").first()
     assert (row["doc_id"], row["decoded"], row["n_tokens"]) == (12, "a", len(row["ids"]))
+
+
+def test_stages_send_small_batches(spark, tmp_path):
+    """A stage's batches of long texts stay small, whatever the session had; a smaller setting stays."""
+    keys = list(corpus_pipeline.BATCH)
+    before = {k: spark.conf.get(k) for k in keys}
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("long text "), 2000).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    try:
+        spark.conf.set(keys[0], "10000")
+        spark.conf.set(keys[1], "64m")
+        corpus_pipeline.sentencepiece_stage(spark, docs, str(tmp_path))
+        found = docs.mapInArrow(run, "n long, bytes long").collect()
+        assert sum(r["n"] for r in found) == 3000 and max(r["n"] for r in found) <= 1000
+        assert max(r["bytes"] for r in found) <= 21_000_000
+        spark.conf.set(keys[0], "500")
+        corpus_pipeline.sentencepiece_stage(spark, docs, str(tmp_path))
+        assert spark.conf.get(keys[0]) == "500"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
